@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.problems import sql_path
 from ..sources.tables import table
-from . import parse_reports, subjects, tree_labels
+from ..session import materialise
+from . import mixing, packing, parse_reports, subjects, tokens, tree_labels
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +49,48 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p6_found, p6_labels, p9_found, p9_composition)}
+def _limits(spark: SparkSession, d: str) -> list:
+    """The fixed small table of container sizes."""
+    return sorted((r.capacity_tokens, r.limit_name) for r in table(spark, d, "pack_limits").where("capacity_tokens > 0").collect())
+
+
+def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
+    sized = materialise(tokens.with_tokens(table(spark, d, "documents"), "text", ["doc_id"]))
+    return [(name, capacity, packing.pack(sized, capacity)) for capacity, name in _limits(spark, d)]
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document with its container, for each capacity."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("limit_name"), "*") for name, _, df in _packed(spark, d)])
+
+
+def p7_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, room used and the least number of containers possible, for each capacity."""
+    return reduce(DataFrame.unionByName, [packing.usage(df, c).select(F.lit(name).alias("limit_name"), F.lit(c).alias("capacity_tokens"), "*") for name, c, df in _packed(spark, d)])
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").withColumns({"source": mixing.canonical_source(F.col("source")), "language": mixing.canonical_language(F.col("lang"))})
+    targets = table(spark, d, "mix_targets")
+    wanted = documents.join(F.broadcast(targets.select(mixing.canonical_source(F.col("source")).alias("source")).distinct()), "source", "left_semi")
+    rules = subjects.fit(documents, table(spark, d, "doc_labels"))
+    topics = subjects.classify(wanted, rules, ["source", "language", "text"])
+    topical = topics.withColumn("topic", F.coalesce(F.get("subjects", F.lit(0)), F.lit("(none)")))
+    sized = materialise(tokens.with_tokens(topical, "text", ["doc_id", "source", "language", "topic"]))
+    return mixing.mix(sized, targets)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return _mixed(spark, d)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached share of each source."""
+    return mixing.shares(materialise(_mixed(spark, d)), table(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p6_found, p6_labels, p7_packing, p7_usage, p8_mix, p8_shares, p9_found, p9_composition)}
 
 _HARM = "|".join(parse_reports.FAMILIES.values())
 _SAYS = """list_concat([r], regexp_extract_all(d, '"message"\\s*:\\s*"([^"\\\\]*(\\\\.[^"\\\\]*)*)', 1), regexp_extract_all(d, '"[0-9]+:[0-9]+: ([^"\\\\]*(\\\\.[^"\\\\]*)*)', 1))"""
