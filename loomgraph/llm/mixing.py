@@ -19,7 +19,7 @@ from ..session import materialise
 
 RAKES = 100
 ROWS_PER_SHARD = 200_000
-STARTS = 64
+STARTS = 16
 KNOWN_LANGUAGES = ("en", "fr", "de", "es")
 
 
