@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, search_queries
 
-MODULES = [problems]
+MODULES = [problems, search_queries]
 
 
 def queries() -> dict:
