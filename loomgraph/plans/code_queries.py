@@ -99,7 +99,7 @@ def plan_status(spark: SparkSession, d: str) -> DataFrame:
     return now.join(old, "path", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("select confidence.method as method, case when s >= 95 then 'exact' when s >= 80 then 'high' when s >= 60 then 'medium' when s >= 35 then 'low' when s >= 1 then 'weak' else 'unresolved' end as band, count(*) as n from (select confidence, floor(least(greatest(coalesce(nullif(confidence.score, 'nan'::double), 0.0), 0.0), 100.0)) as s from calls) group by 1, 2")
+@q("select confidence.method as method, case when s >= 95 then 'exact' when s >= 80 then 'high' when s >= 60 then 'medium' when s >= 35 then 'low' when s >= 1 then 'weak' else 'unresolved' end as band, count(*) as n from (select confidence, case when confidence.score::varchar = 'nan' then 0 else floor(least(greatest(confidence.score, 0), 100)) end as s from calls) group by 1, 2")
 def confidence_bands(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "calls").groupBy(F.col("confidence.method").alias("method"), T.confidence_label(F.col("confidence.score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
