@@ -89,5 +89,5 @@ def headings(text: Column) -> Column:
 
 def markdown_links(text: Column) -> Column:
     """Array of ``text, url`` for ``[text](url)``."""
-    whole = F.regexp_extract_all(text, F.lit(r"(?<![\[!])\[[^\[\]]*\]\([^()\s]+\)"), F.lit(0))
+    whole = F.regexp_extract_all(text, F.lit(r"(?<!\[)\[[^\[\]]*\]\([^()\s]+\)"), F.lit(0))
     return F.transform(whole, lambda x: F.struct(F.regexp_extract(x, r"^\[([^\]]*)\]", 1).alias("text"), F.regexp_extract(x, r"\((.*)\)$", 1).alias("url")))
