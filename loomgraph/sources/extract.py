@@ -405,7 +405,7 @@ def aspnet_routes(path: str, language: str, text: str) -> Iterator[Row]:
     for m in re.finditer(r"\.Map(Get|Post|Put|Delete|Patch|Head)\s*\(\s*\"([^\"]*)\"\s*,", code):
         args = split_top(code[m.end() : closing(code, m.start(), "()")])
         yield _route("aspnet", m[1], slashed(m[2]), args[0] if args and re.fullmatch(r"[\w.]+", args[0]) else "", code, m.start())
-    for m in re.finditer(r"\[Http(Get|Post|Put|Delete|Patch|Head)(?:\(\s*\"([^\"]*)\"[^)]*\))?\s*\](?:\s*\[[^\]]*\])*[^(\n]*?(\w+)\s*\(", code):
+    for m in re.finditer(r"\[Http(Get|Post|Put|Delete|Patch|Head)(?:\(\s*\"([^\"]*)\"[^)]*\))?\s*\](?:\s*\[[^\]]*\])*\s*[^(\n]*?(\w+)\s*\(", code):
         yield _route("aspnet", m[1], slashed(m[2] or ""), m[3], code, m.start())
 
 

@@ -23,9 +23,10 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str) -> DataFrame:
 
 
 def debounced(changes: DataFrame, ts: str, path: str, quiet: str, late: str) -> DataFrame:
-    """``session, paths`` of a stream of file changes: the paths touched before each quiet time."""
+    """``session, root, paths`` of a stream of file changes: the paths of each top folder touched before a quiet time."""
     relevant = changes.where(F.col(path).rlike(RELEVANT) & ~F.col(path).rlike(r"(^|/)(\.git|target|node_modules)/"))
-    return relevant.withWatermark(ts, late).groupBy(F.session_window(ts, quiet).alias("session")).agg(F.collect_set(path).alias("paths"))
+    root = F.element_at(F.split(path, "/"), 1).alias("root")
+    return relevant.withWatermark(ts, late).groupBy(F.session_window(ts, quiet).alias("session"), root).agg(F.collect_set(path).alias("paths"))
 
 
 def _admitted(times: list[float], recent: deque, most: int, span: float) -> list[bool]:
