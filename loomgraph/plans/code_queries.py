@@ -52,7 +52,7 @@ def resolution_rate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "imports").groupBy("snapshot_no").agg(F.round(100.0 * F.count_if(there("resolved_file")) / F.count(F.lit(1)), 4).alias("percent"))
 
 
-@q("select requested_backend, count_if(used_backend = 'ripex') as first_backend, count_if(used_backend = 'tree-sitter') as second_backend, count_if(coalesce(trim(fallback_reason) <> '', false)) as fallbacks from parser_results group by requested_backend")
+@q("select requested_backend, count_if(used_backend = 'ripex')::bigint as first_backend, count_if(used_backend = 'tree-sitter')::bigint as second_backend, count_if(coalesce(trim(fallback_reason) <> '', false))::bigint as fallbacks from parser_results group by requested_backend")
 def backend_mix(spark: SparkSession, d: str) -> DataFrame:
     used = F.col("used_backend")
     return table(spark, d, "parser_results").groupBy("requested_backend").agg(F.count_if(used == "ripex").alias("first_backend"), F.count_if(used == "tree-sitter").alias("second_backend"), F.count_if(there("fallback_reason")).alias("fallbacks"))
@@ -361,7 +361,7 @@ def call_definitions(spark: SparkSession, d: str) -> DataFrame:
 
 @q("select path, lower(regexp_extract(path, '[^/\\\\]\\.([^./\\\\]+)$', 1)) as extension, sha256(text) as hash, strlen(text) as bytes from documents")
 def scan_hash(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("path", paths.extension(F.col("path")).alias("extension"), F.sha2("text", 256).alias("hash"), F.octet_length("text").alias("bytes"))
+    return table(spark, d, "documents").select("path", paths.extension(F.col("path")).alias("extension"), F.sha2("text", 256).alias("hash"), F.octet_length("text").cast("long").alias("bytes"))
 
 
 @q("""select coalesce(n.path, o.path) as path, case when o.h is null then 'added' when n.h is null then 'deleted' else 'modified' end as status from

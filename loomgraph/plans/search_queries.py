@@ -125,7 +125,7 @@ def embed_pending(spark: SparkSession, d: str) -> DataFrame:
     return S.to_embed(items.where("snapshot_no > 101"), items.where("snapshot_no = 101")).select("id", "text", "content_hash")
 
 
-@q(f"with h as (select snapshot_no, sha256({ITEM}) as h from symbols) select count(*) as total, count_if(h in (select h from h where snapshot_no = 101)) as skipped, count_if(h not in (select h from h where snapshot_no = 101)) as embedded from h where snapshot_no > 101")
+@q(f"with h as (select snapshot_no, sha256({ITEM}) as h from symbols) select count(*) as total, count_if(h in (select h from h where snapshot_no = 101))::bigint as skipped, count_if(h not in (select h from h where snapshot_no = 101))::bigint as embedded from h where snapshot_no > 101")
 def embed_stats(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "symbols").select("snapshot_no", F.sha2(F.concat_ws("", "kind", F.lit(" "), "name", F.lit(" in "), "file", F.lit(" - "), "signature"), 256).alias("h"))
     known = items.where("snapshot_no = 101").select("h").distinct().withColumn("known", F.lit(True))
