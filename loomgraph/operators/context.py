@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialise
 from .budget import greedy_fill
 
 # fixed values: share of an export's budget by kind of fact, in percent, and tokens added for each fact
 EXPORT_SHARES = {"symbol": (20, 20), "import": (8, 15), "call": (8, 15), "type_impl": (10, 15), "bridge": (5, 15), "doc": (5, 20), "doc_edge": (3, 10), "file": (5, 10), "code_edge": (3, 10)}
 # fixed values: order of a match
 PRIORITY = {"exact": 4, "prefix": 3, "fuzzy": 2, "bridge": 1, "import": 0}
+# fixed values: fields whose matches rank no higher, however well they match
+AT_MOST = {"tags": "fuzzy", "from_id": "bridge", "to_id": "bridge"}
 
 
 def match_priority(text: Column, query: str) -> Column:
@@ -22,6 +25,16 @@ def match_priority(text: Column, query: str) -> Column:
     return F.when(low == q, PRIORITY["exact"]).when(F.startswith(low, F.lit(q)), PRIORITY["prefix"]).when(F.contains(low, F.lit(q)), PRIORITY["fuzzy"])
 
 
+def best_match(fields: list[str], query: str) -> Column:
+    """The best rank of a query in any of the fields, -1 if it is in none."""
+
+    def one(f: str) -> Column:
+        rank = match_priority(F.col(f).cast("string"), query)
+        return F.coalesce(F.when(rank.isNotNull(), F.least(rank, F.lit(PRIORITY[AT_MOST[f]]))) if f in AT_MOST else rank, F.lit(-1))
+
+    return F.greatest(F.lit(-1), *map(one, fields))
+
+
 def candidates(facts: dict[str, tuple[DataFrame, str, list[str]]], query: str) -> DataFrame:
     """``kind, item, priority, tokens`` of all facts that a query matches in any of their fields.
 
@@ -29,7 +42,7 @@ def candidates(facts: dict[str, tuple[DataFrame, str, list[str]]], query: str) -
     """
 
     def one(kind: str, df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-        best = F.greatest(F.lit(-1), *[F.coalesce(match_priority(F.col(f).cast("string"), query), F.lit(-1)) for f in fields])
+        best = best_match(fields, query)
         size = T.estimated_tokens(F.concat_ws(" ", *[F.col(f).cast("string") for f in fields]))
         hit = df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("item"), best.alias("priority"), size.alias("tokens")).where("priority >= 0")
         return hit.groupBy("kind", "item").agg(F.max("priority").alias("priority"), F.min("tokens").alias("tokens"))
@@ -43,6 +56,36 @@ def bounded(found: DataFrame, budget: int) -> DataFrame:
     return greedy_fill(named, "all", [-F.col("priority"), F.col("tokens"), F.col("item")], "tokens", "item", F.lit(budget)).select("item", "tokens")
 
 
+def of_files(files: DataFrame, facts: dict[str, tuple[DataFrame, str, str, Column]]) -> DataFrame:
+    """``kind, item, priority, tokens, turn, place`` of the facts in ``files(file)``.
+
+    ``facts`` has, by kind, a DataFrame with ``file, line``, its id, the field
+    that is measured and the column in the line; ``turn`` counts the kinds,
+    ``place`` is where in the source a fact stands.
+    """
+
+    def one(turn: int, kind: str, df: DataFrame, key: str, field: str, column: Column) -> DataFrame:
+        near = df.join(files.select("file").distinct(), "file", "left_semi")
+        row = near.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("item"), T.estimated_tokens(F.coalesce(field, F.lit(""))).alias("tokens"), F.struct("file", "line", column.cast("int").alias("column")).alias("place"))
+        return row.groupBy("kind", "item").agg(F.lit(PRIORITY["import"]).alias("priority"), F.min("tokens").alias("tokens"), F.lit(turn).alias("turn"), F.min("place").alias("place"))
+
+    return reduce(DataFrame.unionByName, [one(n, k, *v) for n, (k, v) in enumerate(facts.items())])
+
+
+def bounded_with_code(found: DataFrame, symbols: DataFrame, facts: dict[str, tuple[DataFrame, str, str, Column]], query: str, budget: int) -> DataFrame:
+    """``bounded``, then what the rest of the budget takes in of the facts in the files of the symbols taken, kind by kind in source order.
+
+    Only symbols count whose name the query matches.
+    """
+    first = materialise(bounded(found, budget))
+    ids = first.where("item like 'symbol|%'").select(F.substr("item", F.lit(len("symbol|") + 1)).alias("id"))
+    files = symbols.where(best_match(["name"], query) >= 0).join(ids, "id", "left_semi").select("file")
+    left = first.agg((F.lit(budget) - F.coalesce(F.sum("tokens"), F.lit(0))).alias("left"))
+    more = of_files(files, facts).withColumn("item", F.concat_ws("|", "kind", "item")).withColumn("all", F.lit("context")).crossJoin(F.broadcast(left))
+    second = greedy_fill(more, "all", [F.col("turn"), F.col("place"), F.col("item")], "tokens", "item", F.col("left"))
+    return first.unionByName(second.select("item", "tokens"))
+
+
 def export_bounded(facts: dict[str, tuple[DataFrame, str]], total: int, name: str) -> DataFrame:
     """``kind, item, tokens``: of each kind, the facts in order of id that its share of the budget takes in."""
     rest = max(0, total - -(-len(name) // 4) - 100)

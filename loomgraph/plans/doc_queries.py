@@ -133,6 +133,56 @@ def context_query(spark: SparkSession, d: str) -> DataFrame:
     return context.bounded(context.candidates(_facts(spark, d), "vault"), 1200)
 
 
+def _facts_all(spark: SparkSession, d: str) -> dict:
+    documents = table(spark, d, "documents").withColumn("tags", F.array_join("tags", "\n"))
+    return _facts(spark, d) | {
+        "doc": (documents, "node_id", ["title", "path", "tags"]),
+        "type_impl": (table(spark, d, "type_impls"), "id", ["implementing_type", "trait_or_interface", "file", "language"]),
+        "bridge": (table(spark, d, "bridge_edges"), "id", ["from_id", "to_id"]),
+    }
+
+
+def _code(spark: SparkSession, d: str) -> dict:
+    return {"import": (table(spark, d, "imports"), "id", "source", F.lit(0)), "call": (table(spark, d, "calls"), "id", "callee_text", F.col("column_no"))}
+
+
+def _hit_all(kind: str, t: str, key: str, fields: list[str], most: dict[str, int] | None = None) -> str:
+    rank = lambda f: f"case when contains(lower({f}), 'vault') then least({(most or {}).get(f, 4)}, case when lower({f}) = 'vault' then 4 when starts_with(lower({f}), 'vault') then 3 else 2 end) else -1 end"
+    return f"select * from (select '{kind}' as kind, {key} as item, max(greatest({', '.join(map(rank, fields))})) as priority, min(ceil(length(concat_ws(' ', {', '.join(fields)})) / 4.0)::bigint) as tokens from {t} group by {key} having max(greatest({', '.join(map(rank, fields))})) >= 0)"
+
+
+TAGS = "array_to_string(tags, chr(10))"
+HITS_ALL = " union all ".join([
+    _hit_all("symbol", "symbols", "id", ["name", "file"]), _hit_all("doc", "documents", "node_id", ["title", "path", TAGS], {TAGS: 2}), _hit_all("file", "files", "path", ["path"]),
+    _hit_all("type_impl", "type_impls", "id", ["implementing_type", "trait_or_interface", "file", "language"]), _hit_all("bridge", "bridge_edges", "id", ["from_id", "to_id"], {"from_id": 1, "to_id": 1}),
+])
+
+
+def _code_sql(files: str) -> str:
+    one = "select {0} as turn, '{1}' as kind, id as item, 0 as priority, min(ceil(length(coalesce({2}, '')) / 4.0)::bigint) as tokens, min(file) as file, min(line) as line, min({3}) as col from {1}s where file in ({4}) group by id"
+    return one.format(0, "import", "source", "0", files) + " union all " + one.format(1, "call", "callee_text", "column_no", files)
+
+
+@q(f"select kind, item, priority, tokens from ({HITS_ALL}) union all select kind, item, priority, tokens from ({_code_sql("select file from symbols where contains(lower(name), 'vault')")})")
+def context_candidates_all(spark: SparkSession, d: str) -> DataFrame:
+    """All that a question concerns: also bridge edges, tags, and imports and calls in the files of symbols named so."""
+    named = table(spark, d, "symbols").where(context.best_match(["name"], "vault") >= 0)
+    code = context.of_files(named, _code(spark, d)).select("kind", "item", "priority", "tokens")
+    return context.candidates(_facts_all(spark, d), "vault").unionByName(code)
+
+
+@q(f"""with recursive h as (select kind || '|' || item as item, priority, tokens from ({HITS_ALL})), c as (select item, tokens, row_number() over (order by -priority, tokens, item) as k from h where tokens > 0),
+      w(k, used, item, tokens, took) as (select 0::bigint, 0::bigint, ''::varchar, 0::bigint, false union all select c.k, case when used + c.tokens <= 1200 then used + c.tokens else used end, c.item, c.tokens, used + c.tokens <= 1200 from w join c on c.k = w.k + 1),
+      one as (select item, tokens from w where took union all select item, tokens from h where tokens = 0), b as (select 1200 - coalesce(sum(tokens), 0)::bigint as n from one),
+      r as (select kind || '|' || item as item, tokens, turn, file, line, col from ({_code_sql("select file from symbols where contains(lower(name), 'vault') and 'symbol|' || id in (select item from one)")})),
+      e as (select item, tokens, n, row_number() over (order by turn, file, line, col, item) as k from r, b where tokens > 0 and tokens <= n),
+      v(k, used, item, tokens, took) as (select 0::bigint, 0::bigint, ''::varchar, 0::bigint, false union all select e.k, case when used + e.tokens <= n then used + e.tokens else used end, e.item, e.tokens, used + e.tokens <= n from v join e on e.k = v.k + 1)
+      select item, tokens from one union all select item, tokens from v where took union all select item, tokens from r where tokens = 0""")
+def context_query_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of all candidates, what 1,200 tokens take in; imports and calls last, of the symbols taken, in source order."""
+    return context.bounded_with_code(context.candidates(_facts_all(spark, d), "vault"), table(spark, d, "symbols"), _code(spark, d), "vault", 1200)
+
+
 @q()
 def export_bounded(spark: SparkSession, d: str) -> DataFrame:
     facts = {"symbol": ("symbols", "id"), "import": ("imports", "id"), "call": ("calls", "id"), "type_impl": ("type_impls", "id"), "bridge": ("bridge_edges", "id"), "doc_edge": ("doc_edges", "id")}
