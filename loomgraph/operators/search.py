@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 RRF_K = 60
+# fixed value: vectors in a block on average
+BLOCK = 2000
 
 
 def line_table(files: DataFrame, key: str, text: str) -> DataFrame:
@@ -70,6 +73,53 @@ def vector_search(vectors: DataFrame, key: str, vector: str, query: list[float],
     return vectors.select(F.col(key), F.round(T.cosine(F.col(vector), F.lit([float(x) for x in query])), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def vector_search_all(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """``query_id, key, score``: for every row of ``queries`` the ``k`` most similar vectors, as ``vector_search`` has them for one.
+
+    Both sides are put into blocks by a hash of the key, one row each.  Every
+    block of queries meets every block of vectors in one task, which sends on
+    no more than ``k`` rows a query.  A norm that is not a number counts as 0.
+    """
+    kind = dict(vectors.dtypes)[key]
+    name = dict(queries.dtypes)[key]
+
+    def blocks(df: DataFrame, ids: str, values: str) -> DataFrame:
+        n = -(-df.count() // BLOCK) or 1
+        return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n))).agg(F.collect_list(key).alias(ids), F.collect_list(F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>"))).alias(values))
+
+    def run(batches):
+        import numpy as np
+
+        def unit(xs):
+            got = {}
+            for at, x in enumerate(xs):
+                got.setdefault(len(x), []).append((at, x))
+            out = {}
+            for size, own in got.items():
+                m = np.array([x for _, x in own], dtype="float64").reshape(len(own), size)
+                norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                out[size] = [at for at, _ in own], m, np.where(norm > 0, norm, 0.0)
+            return out
+
+        for pdf in batches:
+            for ids, xs, to, ys in zip(pdf["qi"], pdf["qv"], pdf["vi"], pdf["vv"], strict=True):
+                score = np.zeros((len(ids), len(to)))
+                mine, theirs = unit(xs), unit(ys)
+                for size in (mine.keys() & theirs.keys()) - {0}:
+                    (a, m, p), (b, n, r) = mine[size], theirs[size]
+                    norms = p * r.T
+                    score[np.ix_(a, b)] = np.divide(m @ n.T, norms, out=np.zeros_like(norms), where=norms > 0)
+                score, to = np.round(score, 6) + 0.0, np.asarray(to)
+                for at, one in enumerate(ids):
+                    best = np.lexsort((to, -score[at]))[:k]
+                    yield pd.DataFrame({"query_id": [one] * len(best), key: to[best], "score": score[at][best]})
+
+    # the pairs are dealt out, as few blocks would else lie in few tasks
+    pairs = blocks(queries, "qi", "qv").crossJoin(blocks(vectors, "vi", "vv")).repartition("qi", "vi").select("qi", "qv", "vi", "vv")
+    some = pairs.mapInPandas(run, f"query_id {name}, {key} {kind}, score double")
+    return some.selectExpr("*", f"row_number() over (partition by query_id order by score desc, {key}) as r").where(F.col("r") <= k).drop("r")
+
+
 def fuse(lists: list[DataFrame], key: str, k: int) -> DataFrame:
     """Reciprocal-rank fusion of short ranked lists ``key, score``: the sum of 1 / (60 + rank), ranks from 1.
 
@@ -83,6 +133,16 @@ def fuse(lists: list[DataFrame], key: str, k: int) -> DataFrame:
     return ranked.groupBy(key).agg(F.round(F.sum(1.0 / (RRF_K + F.col("r"))), 8).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def fuse_all(lists: list[DataFrame], by: str, key: str, k: int) -> DataFrame:
+    """``by, key, score``: ``fuse`` for every value of ``by``, which each list has."""
+    ranked = None
+    for one in lists:
+        rank = one.selectExpr(by, key, f"row_number() over (partition by {by} order by score desc, {key}) as r")
+        ranked = rank if ranked is None else ranked.unionByName(rank)
+    fused = ranked.groupBy(by, key).agg(F.round(F.sum(1.0 / (RRF_K + F.col("r"))), 8).alias("score"))
+    return fused.selectExpr("*", f"row_number() over (partition by {by} order by score desc, {key}) as r").where(F.col("r") <= k).drop("r")
+
+
 def complete(names: DataFrame, name: str, prefix: str) -> DataFrame:
     """Distinct names that start with ``prefix``, letter case ignored."""
     return names.where(F.startswith(F.lower(name), F.lit(prefix.lower()))).select(name).distinct()

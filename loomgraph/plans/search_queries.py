@@ -104,6 +104,30 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return S.fuse([S.vector_search(vectors, "vec_id", "embedding", _query_vector(spark, d), 50), by_label], "vec_id", 30)
 
 
+VEC_ALL = "select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(v.embedding::double[], q.embedding::double[]), 6) as score from embeddings q, embeddings v where q.vec_id % 20 = 0"
+TOP_ALL = "select * from ({0}) qualify row_number() over (partition by query_id order by score desc, vec_id) <= {1}"
+
+
+@q(TOP_ALL.format(VEC_ALL, 20))
+def vector_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 nearest of all vectors to every vector whose id is divisible by 20."""
+    vectors = table(spark, d, "embeddings")
+    return S.vector_search_all(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "embedding", 20)
+
+
+@q(f"""with v as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id) as r from ({TOP_ALL.format(VEC_ALL, 50)})),
+  k as (select vec_id, row_number() over (order by vec_id) as r from (select vec_id from embeddings where label = 3 order by vec_id limit 50)),
+  f as (select query_id, vec_id, round(sum(1.0::double / (60 + r)), 8) as score from (select * from v union all select q.vec_id, k.vec_id, k.r from embeddings q, k where q.vec_id % 20 = 0) group by query_id, vec_id)
+  {TOP_ALL.format("select * from f", 30)}""")
+def hybrid_rrf_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``hybrid_rrf``, for every vector whose id is divisible by 20."""
+    vectors = table(spark, d, "embeddings")
+    queries = vectors.where("vec_id % 20 = 0")
+    by_label = S.keyword_search(vectors, "vec_id", [F.col("label").cast("string")], "3", 50, 0.7)
+    each = queries.select(F.col("vec_id").alias("query_id")).crossJoin(F.broadcast(by_label))
+    return S.fuse_all([S.vector_search_all(queries, vectors, "vec_id", "embedding", 50), each], "query_id", "vec_id", 30)
+
+
 @q("select label, max(round(list_sum(embedding::double[]), 4)) as score from embeddings group by label")
 def dedupe_best(spark: SparkSession, d: str) -> DataFrame:
     total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)

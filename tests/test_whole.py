@@ -47,3 +47,21 @@ def test_context_takes_bridge_tags_imports_and_calls(spark):
     for left, want in ((0, set()), (1, {"import|i1"}), (2, {"import|i1", "import|i2"}), (9, {"import|i1", "import|i2", "call|c1"})):
         got = {r["item"] for r in context.bounded_with_code(found, symbols, code, "vault", direct + left).collect()}
         assert got == {"symbol|s1", "symbol|s2", "doc|d1", "bridge|b1"} | want
+
+
+@pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test tables")
+@pytest.mark.parametrize("name", ["vector_topk_all", "hybrid_rrf_all"])
+def test_vectors_against_sql(spark, name):
+    assert against_sql(spark, name)
+
+
+def test_every_query_vector_is_served(spark, monkeypatch):
+    from loomgraph.operators import search
+
+    monkeypatch.setattr(search, "BLOCK", 2)  # several blocks on both sides
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [1.0, 1.0]), (4, [1.0]), (5, [0.0, 0.0]), (6, None), (20, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = search.vector_search_all(vectors.where("vec_id in (0, 2, 20)"), vectors, "vec_id", "embedding", 4)
+    for one in (0, 2, 20):
+        want = search.vector_search(vectors, "vec_id", "embedding", dict(rows)[one], 4)
+        assert {(r.vec_id, r.score) for r in got.where(f"query_id = {one}").collect()} == {(r.vec_id, r.score) for r in want.collect()}
