@@ -57,9 +57,10 @@ def with_context(table: DataFrame, hit: Column, key: str, around: int) -> DataFr
     return table.join(wanted, (table[key] == F.col("k")) & (table["line"] == F.col("l"))).select(*table.columns, F.coalesce(hit, F.lit(False)).alias("is_hit"))
 
 
-def keyword_search(items: DataFrame, key: str, fields: list[Column], query: str, k: int, least: float = 0.0) -> DataFrame:
-    """The ``k`` best items by the best score of their fields; ties by key."""
-    best = F.greatest(F.lit(0.0), *[T.keyword_score(f, query) for f in fields])
+def keyword_search(items: DataFrame, key: str, fields: list[Column], query: str, k: int, least: float = 0.0, lists: list[Column] = ()) -> DataFrame:
+    """The ``k`` best items by the best score of their fields, and of the texts in their ``lists``; ties by key."""
+    inside = [F.array_max(F.transform(x, lambda t: T.keyword_score(t, query))) for x in lists]
+    best = F.greatest(F.lit(0.0), *[T.keyword_score(f, query) for f in fields], *inside)
     return best_of(items.select(F.col(key), best.alias("score")).where(F.col("score") > least), key).orderBy(F.desc("score"), key).limit(k)
 
 

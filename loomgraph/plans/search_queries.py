@@ -83,6 +83,15 @@ def keyword_documents(spark: SparkSession, d: str) -> DataFrame:
     return S.keyword_search(table(spark, d, "documents"), "node_id", [F.col("title"), F.col("path")], "harbor", 50)
 
 
+HEADS = f"select node_id, trim(regexp_replace(x, '^\\s*#{{1,6}}', ''), ' ') as h from (select node_id, unnest(string_split(regexp_replace(regexp_replace(text, '\\r?\\n$', ''), '\\r\\n', chr(10), 'g'), chr(10))) as x from documents) where regexp_matches(x, '^\\s*#{{1,6}}[^#]')"
+
+
+@q(f"select node_id, max(s)::double as score from (select node_id, greatest({sql_score("coalesce(title, '')", 'harbor')}, {sql_score('path', 'harbor')}) as s from documents union all select node_id, {sql_score('h', 'harbor')} from ({HEADS})) where s > 0 group by node_id order by score desc, node_id limit 50")
+def keyword_documents_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ``keyword_documents``, with the headings of each document."""
+    return S.keyword_search(table(spark, d, "documents"), "node_id", [F.col("title"), F.col("path")], "harbor", 50, lists=[F.transform(T.headings(F.col("text")), lambda h: h["text"])])
+
+
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
     return table(spark, d, "embeddings").where("vec_id = 0").first().embedding
 

@@ -65,3 +65,15 @@ def test_every_query_vector_is_served(spark, monkeypatch):
     for one in (0, 2, 20):
         want = search.vector_search(vectors, "vec_id", "embedding", dict(rows)[one], 4)
         assert {(r.vec_id, r.score) for r in got.where(f"query_id = {one}").collect()} == {(r.vec_id, r.score) for r in want.collect()}
+
+
+@pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test tables")
+def test_keyword_documents_against_sql(spark):
+    assert against_sql(spark, "keyword_documents_all")
+
+
+def test_a_heading_alone_is_a_hit(spark, tmp_path):
+    rows = [("doc:a", "Notes", "a.md", "# Start\n\n## Harbor\n"), ("doc:b", "Notes", "b.md", "the harbor"), ("doc:c", None, "c.md", None), ("doc:d", "Harbor log", "d.md", "")]
+    spark.createDataFrame(rows, "node_id string, title string, path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.node_id: r.score for r in entry.queries()["keyword_documents_all"](spark, str(tmp_path)).collect()}
+    assert got == {"doc:a": 1.0, "doc:d": 0.7}
