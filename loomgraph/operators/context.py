@@ -1,4 +1,4 @@
-"""Contexts for a question, a file, a symbol or a topic, and bounded exports."""
+"""Contexts for a question, what changes affect, files on a topic, and bounded exports."""
 
 from __future__ import annotations
 

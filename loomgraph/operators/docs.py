@@ -75,7 +75,8 @@ def backlinks(doc_edges: DataFrame, doc_nodes: DataFrame) -> DataFrame:
 def bridge(doc_nodes: DataFrame, front: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
     """``from_id, to_id, edge_type, score`` from documents to code, each pair and kind once with its best score.
 
-    Related code named in the frontmatter describes a file or may be stale;
+    Related code named in the frontmatter describes a file or may be stale,
+    names of symbols in it refer to every symbol of that name;
     paths in headings and links that exist are mentioned; names of symbols in
     titles and headings, and headings that are a file's stem, with or without
     underscores, refer to it.  A null or an empty text links to nothing.
@@ -85,6 +86,7 @@ def bridge(doc_nodes: DataFrame, front: DataFrame, files: DataFrame, symbols: Da
     start = F.concat(F.lit("doc:"), "path")
     related = front.where("fields is not null").select(start.alias("from_id"), F.explode(F.from_json(F.col("fields")["related_code"], "array<string>")).alias("p"))
     found = related.join(have.withColumn("there", F.lit(True)), "p", "left").select("from_id", F.col("p").alias("to_id"), F.when(F.col("there"), "DOC_DESCRIBES_CODE").otherwise("DOC_MAY_BE_STALE").alias("edge_type"), F.lit(EXACT_PATH).alias("score"))
+    told = front.where("fields is not null").select(start.alias("from_id"), F.explode(F.from_json(F.col("fields")["symbols"], "array<string>")).alias("name")).join(names, "name").select("from_id", F.col("key").alias("to_id"), F.lit("DOC_REFERENCES_SYMBOL").alias("edge_type"), F.lit(EXACT_PATH).alias("score"))
     words = doc_nodes.select(start.alias("from_id"), F.explode(F.concat("headings.text", "wiki_links.target")).alias("w"))
     mentioned = words.select("from_id", F.explode(F.regexp_extract_all("w", F.lit(r"[\w./-]+\.[A-Za-z]{1,5}"), F.lit(0))).alias("p")).distinct().join(have, "p", "left_semi")
     mentions = mentioned.select("from_id", F.col("p").alias("to_id"), F.lit("DOC_MENTIONS_PATH").alias("edge_type"), F.lit(PATH_MENTION).alias("score"))
@@ -94,7 +96,7 @@ def bridge(doc_nodes: DataFrame, front: DataFrame, files: DataFrame, symbols: Da
     stems = have.select(F.col("p").alias("to_id"), flat(paths.stem(F.col("p"))).alias("k"))
     heads = doc_nodes.select(start.alias("from_id"), F.explode("headings.text").alias("w")).select("from_id", flat(F.translate("w", "` ", "")).alias("k")).where("k <> ''").distinct()
     same = heads.join(stems, "k").select("from_id", "to_id", F.lit("DOC_DESCRIBES_CODE").alias("edge_type"), F.lit(STEM_MATCH).alias("score"))
-    return reduce(DataFrame.unionByName, [found, mentions, refers, same]).groupBy("from_id", "to_id", "edge_type").agg(F.max("score").alias("score"))
+    return reduce(DataFrame.unionByName, [found, told, mentions, refers, same]).groupBy("from_id", "to_id", "edge_type").agg(F.max("score").alias("score"))
 
 
 def stale(bridge_edges: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -77,3 +77,13 @@ def test_a_heading_alone_is_a_hit(spark, tmp_path):
     spark.createDataFrame(rows, "node_id string, title string, path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.node_id: r.score for r in entry.queries()["keyword_documents_all"](spark, str(tmp_path)).collect()}
     assert got == {"doc:a": 1.0, "doc:d": 0.7}
+
+
+def test_frontmatter_names_symbols(spark):
+    from loomgraph.operators import docs
+
+    frame = spark.createDataFrame([("r/a.md", "---\nsymbols: [run, gone]\n---\ntext"), ("r/b.md", "---\nsymbols: [run]\n---\n# run")], "path string, text string")
+    front = docs.frontmatter(frame, "path", "text")
+    symbols = spark.createDataFrame([("s.rs", "run"), ("t.rs", "run"), ("t.rs", "stop")], "file string, name string")
+    got = docs.bridge(docs.nodes(frame, front), front, spark.createDataFrame([("x.rs",)], "path string"), symbols)
+    assert {tuple(r) for r in got.collect()} == {(f"doc:r/{d}.md", f"{f}.rs::run", "DOC_REFERENCES_SYMBOL", 85.0) for d in "ab" for f in "st"}
