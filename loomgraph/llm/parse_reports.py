@@ -1,9 +1,9 @@
 """Source files that do not parse, told from the reports of their parsers.
 
 The collection holds no file texts, only what parsers said about them, so the
-statements of a report are what is parsed here: each against the grammars of
-all families of statements, the family whose words it shares most being named
-when several accept it.  A statement of a foreign grammar marks a wrong
+statements of a report are what is parsed here: each against the patterns of
+all families of statements in a fixed order, the first that matches being
+named; neither the language nor the backend of a file enters.  A statement of a foreign grammar marks a wrong
 extension, one of truncation or merge the matching damage; a statement that no
 grammar accepts counts as damage only if it carries an error code or words of
 rejection.  ``source_grammars`` does the same for texts where they are at hand.
