@@ -35,8 +35,6 @@ PRIOR = 2.5
 SHARED_LIFT, SHARED_MASS = 1.7, 0.75
 CLEAR = 1.3
 LEAST_SENTENCES, LEAST_RATIO = 2, 0.3
-# of one sentence, no more different words than this are paired while mining; words alone count in any number
-PAIRED_WORDS = 80
 
 _CAMEL = regex.compile(r"(\p{Ll})(\p{Lu})")
 _BREAK = regex.compile(r"[\n\r]+|[.!?;]\s")
@@ -125,7 +123,7 @@ def mine(transactions: DataFrame, least: int = LEAST_WORD, longest: int = MAX_IT
                     g = items[k] % GROUPS
                     if g not in done:
                         done.add(g)
-                        out.append((g, subject, items[: k + 1] if k < PAIRED_WORDS else [x for x in items[: k + 1] if x % GROUPS == g]))
+                        out.append((g, subject, items[: k + 1]))
             yield pd.DataFrame(out, columns=["g", "subject", "items"])
 
     def grow(key, pdf):

@@ -87,3 +87,12 @@ def test_frontmatter_names_symbols(spark):
     symbols = spark.createDataFrame([("s.rs", "run"), ("t.rs", "run"), ("t.rs", "stop")], "file string, name string")
     got = docs.bridge(docs.nodes(frame, front), front, spark.createDataFrame([("x.rs",)], "path string"), symbols)
     assert {tuple(r) for r in got.collect()} == {(f"doc:r/{d}.md", f"{f}.rs::run", "DOC_REFERENCES_SYMBOL", 85.0) for d in "ab" for f in "st"}
+
+
+def test_pairs_of_long_sentences(spark):
+    subjects = pytest.importorskip("loomgraph.llm.subjects")
+
+    words = [f"w{k:03d}" for k in range(100)]
+    rows = spark.createDataFrame([(i, "A", words) for i in range(6)], "doc_id int, subject string, words array<string>")
+    got = {tuple(sorted(r.words)): r.n for r in subjects.mine(rows, 5).collect()}
+    assert got == {(a,): 6 for a in words} | {(a, b): 6 for a in words for b in words if a < b}
