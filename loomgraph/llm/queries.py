@@ -49,6 +49,13 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
+def p9_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Labels met by rules that have not seen the labelled document, for each subject; a few labels are wrong."""
+    rules = subjects.fit(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+    rows = spark.createDataFrame(subjects.quality(rules), "subject string, n_labelled long, n_found long, n_both long")
+    return rows.withColumns({"recall": F.round(F.try_divide("n_both", "n_labelled"), 6), "precision": F.round(F.try_divide("n_both", "n_found"), 6)})
+
+
 def _limits(spark: SparkSession, d: str) -> list:
     """The fixed small table of container sizes."""
     return sorted((r.capacity_tokens, r.limit_name) for r in table(spark, d, "pack_limits").where("capacity_tokens > 0").collect())
@@ -69,28 +76,33 @@ def p7_usage(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [packing.usage(df, c).select(F.lit(name).alias("limit_name"), F.lit(c).alias("capacity_tokens"), "*") for name, c, df in _packed(spark, d)])
 
 
-def _mixed(spark: SparkSession, d: str) -> DataFrame:
+def _measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of wanted sources with their topics and tokens, by one pass over the texts, and the wanted shares."""
     documents = table(spark, d, "documents").withColumns({"source": mixing.canonical_source(F.col("source")), "language": mixing.canonical_language(F.col("lang"))})
     targets = table(spark, d, "mix_targets")
     wanted = documents.join(F.broadcast(targets.select(mixing.canonical_source(F.col("source")).alias("source")).distinct()), "source", "left_semi")
     rules = subjects.fit(documents, table(spark, d, "doc_labels"))
-    topics = subjects.classify(wanted, rules, ["source", "language", "text"])
-    topical = topics.withColumn("topic", F.coalesce(F.get("subjects", F.lit(0)), F.lit("(none)")))
-    sized = materialise(tokens.with_tokens(topical, "text", ["doc_id", "source", "language", "topic"]))
-    return mixing.mix(sized, targets)
+    measured = subjects.classify(wanted, rules, ["source", "language"], ("n_tokens", "long", tokens.count))
+    return materialise(measured.withColumnRenamed("subjects", "topics")), targets
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mix and how often each is used."""
-    return _mixed(spark, d)
+    return mixing.mix(*_measured(spark, d))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Wanted and reached share of each source."""
-    return mixing.shares(materialise(_mixed(spark, d)), table(spark, d, "mix_targets"))
+    sized, targets = _measured(spark, d)
+    return mixing.shares(materialise(mixing.mix(sized, targets)), targets)
+
+
+def p8_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached share of each source, language and topic."""
+    return mixing.margins(*_measured(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p6_found, p6_labels, p7_packing, p7_usage, p8_mix, p8_shares, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p6_found, p6_labels, p7_packing, p7_usage, p8_mix, p8_shares, p8_margins, p9_found, p9_composition, p9_quality)}
 
 _HARM = "|".join(parse_reports.FAMILIES.values())
 _SAYS = """list_concat([r], regexp_extract_all(d, '"message"\\s*:\\s*"([^"\\\\]*(\\\\.[^"\\\\]*)*)', 1), regexp_extract_all(d, '"[0-9]+:[0-9]+: ([^"\\\\]*(\\\\.[^"\\\\]*)*)', 1))"""
