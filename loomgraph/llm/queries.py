@@ -56,24 +56,26 @@ def p9_quality(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"recall": F.round(F.try_divide("n_both", "n_labelled"), 6), "precision": F.round(F.try_divide("n_both", "n_found"), 6)})
 
 
-def _limits(spark: SparkSession, d: str) -> list:
-    """The fixed small table of container sizes."""
-    return sorted((r.capacity_tokens, r.limit_name) for r in table(spark, d, "pack_limits").where("capacity_tokens > 0").collect())
-
-
-def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, dict[int, packing.Plan], DataFrame]:
+    """All pieces for all capacities by one pass, the plans, and the fixed small table of names of capacities."""
     sized = materialise(tokens.with_tokens(table(spark, d, "documents"), "text", ["doc_id"]))
-    return [(name, capacity, packing.pack(sized, capacity)) for capacity, name in _limits(spark, d)]
+    limits = table(spark, d, "pack_limits").where("capacity_tokens > 0").select("limit_name", F.col("capacity_tokens").alias("capacity"))
+    return *packing.pack_all(sized, [r.capacity for r in limits.select("capacity").distinct().collect()]), limits
 
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every document with its container, for each capacity."""
-    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("limit_name"), "*") for name, _, df in _packed(spark, d)])
+    packed, _, limits = _packed(spark, d)
+    return packed.join(F.broadcast(limits), "capacity").select("limit_name", "doc_id", "piece_no", "token_start", "n_tokens", "container_id")
 
 
 def p7_usage(spark: SparkSession, d: str) -> DataFrame:
-    """Containers, room used and the least number of containers possible, for each capacity."""
-    return reduce(DataFrame.unionByName, [packing.usage(df, c).select(F.lit(name).alias("limit_name"), F.lit(c).alias("capacity_tokens"), "*") for name, c, df in _packed(spark, d)])
+    """Containers, room used, the least number possible by volume and by the program, that of greedy filling, and the items placed by the program, for each capacity."""
+    packed, plans, limits = _packed(spark, d)
+    packed = materialise(packed)
+    made = spark.createDataFrame([(c, p.containers, p.bound, p.greedy, p.by_program, p.passes) for c, p in plans.items()], "capacity int, n_filled long, bound long, greedy long, by_program long, passes int")
+    used = reduce(DataFrame.unionByName, [packing.usage(packed.where(F.col("capacity") == c), c).withColumn("capacity", F.lit(c)) for c in plans])
+    return limits.join(F.broadcast(used), "capacity").join(F.broadcast(made), "capacity").withColumnRenamed("capacity", "capacity_tokens")
 
 
 def _measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
