@@ -15,7 +15,7 @@ from . import mixing, packing, parse_reports, subjects, tokens, tree_labels
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """``file``: files whose latest report says that the text breaks its language's rules."""
-    return parse_reports.judge(table(spark, d, "parser_results")).where("damage is not null").select("file")
+    return parse_reports.judge(table(spark, d, "parser_results"), table(spark, d, "files")).where("damage is not null").select("file")
 
 
 def p2_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +23,11 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return parse_reports.damage_rates(table(spark, d, "parser_results"), table(spark, d, "files"))
 
 
+def p2_backends(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged files per backend that was used."""
+    return parse_reports.damage_by_backend(table(spark, d, "parser_results"), table(spark, d, "files"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """``path``: files in any run that were not written by hand."""
     return tree_labels.label_files(table(spark, d, "files")).where("p_handwritten < 0.5").select("path")
@@ -104,15 +109,21 @@ def p8_margins(spark: SparkSession, d: str) -> DataFrame:
     return mixing.margins(*_measured(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p6_found, p6_labels, p7_packing, p7_usage, p8_mix, p8_shares, p8_margins, p9_found, p9_composition, p9_quality)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p2_backends, p6_found, p6_labels, p7_packing, p7_usage, p8_mix, p8_shares, p8_margins, p9_found, p9_composition, p9_quality)}
 
-_HARM = "|".join(parse_reports.FAMILIES.values())
-_SAYS = """list_concat([r], regexp_extract_all(d, '"message"\\s*:\\s*"([^"\\\\]*(\\\\.[^"\\\\]*)*)', 1), regexp_extract_all(d, '"[0-9]+:[0-9]+: ([^"\\\\]*(\\\\.[^"\\\\]*)*)', 1))"""
+# written from the statement of the problem: diagnostics by the severity of their code; reasons and strings without code by whether they tell of text broken off, merged or of another language
+_CODED = """regexp_extract_all(d, '"code"\\s*:\\s*"([^"]*)"', 1)"""
+_LOOSE = """list_concat([r], regexp_extract_all(d, '"[0-9]+:[0-9]+: ([^"\\\\]*(\\\\.[^"\\\\]*)*)', 1))"""
+_BROKEN = (
+    "inside a (string|block)|end of input|no more input|premature|is cut|cut off|stops|terminated|no end before|remain open|very end|rest of the file"
+    "|stray|no tokens|start of line|was expected|continue after|unmerged|unresolved merge|same function|one hunk|breaks the grammar|without operands"
+    "|disagree|no [a-z]+ grammar|( 0 of [0-9]+ lines accepted|lines rejected)|not accepted|under an? [a-z]+ suffix|reads like|begin a module|declarations are|no rule|no token|not a translation|another interpreter|unexpected .(def|[|])"
+)
 ORACLE = {
     "p2_found": f"""
         with runs as (select {sql_path("file")} as file, parsed_at, loaded_at, lower(coalesce(fallback_reason, '')) as r, lower(coalesce(diagnostics_json, '')) as d from parser_results),
-        last as (select * from (select *, row_number() over (partition by file order by parsed_at desc, loaded_at desc, r desc, d desc) as k from runs) where k = 1),
-        said as (select file, unnest({_SAYS}) as x from last)
-        select distinct file from said where regexp_matches(x, '{_HARM.replace("'", "''").replace("(d+) of 1", "").replace(chr(92) + "b(" + chr(92) + "d+) of " + chr(92) + "1 lines rejected|", "")}')
-          and not regexp_matches(x, '{parse_reports.REMARK.replace("'", "''")}')""",
+        last as (select * from (select *, row_number() over (partition by file order by parsed_at desc, loaded_at desc, r desc, d desc) as k from runs) where k = 1)
+        select distinct file from last
+        where len(list_filter({_CODED}, lambda c: c not in ('hint', 'note', 'style', 'limit', 'deprecated', 'unsupported', 'unusedimport'))) > 0
+           or len(list_filter({_LOOSE}, lambda x: regexp_matches(x, '{_BROKEN}') and not regexp_matches(x, 'not rejected|not recorded'))) > 0""",
 }
