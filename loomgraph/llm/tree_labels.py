@@ -24,6 +24,8 @@ from ..session import materialise, release
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 E = [f"e{i}" for i in range(5)]
 VOICES = 1
+# parts that the files of a directory are joined with it in
+PARTS = 8
 
 # log odds of a telling name against handwritten, and of the root of a repository for it
 SURE = 20.0
@@ -62,7 +64,7 @@ GENERATED_FILES = (
     r"(_pb2|_pb2_grpc|_pb|_grpc_pb)\.[a-z]+$|\.pb(\.gw|\.validate)?\.(go|h|cc|c|cpp|swift|dart|rb)$|\.grpc\.swift$|_grpc\.pb\.go$"
     r"|[._-](generated|autogen|gen|g)\.[a-z]+$|_autogen\.|_generated\.|\.g\.(cs|dart)$|\.g\.i\.cs$|\.freezed\.dart$|\.[dD]esigner\.(cs|vb)$|\.AssemblyInfo\.cs$|\.AssemblyAttributes\.cs$|\.GlobalUsings\.g\.cs$"
     r"|\.d\.ts$|\.(js|css|mjs)\.map(\.json)?$|\.graphql\.(js|ts|tsx)$|\.tab\.(c|h|cc|cpp|hpp)$|^lex\.|\.yy\.(c|h|cc|cpp)$|^(moc|ui|qrc)_[^/]*\.(cpp|h|hpp|cc|py)$"
-    r"|^zz_generated[._]|^bindata\.go$|_string\.go$^|_mock\.gen\.go$|^R\.java$|^BuildConfig\.java$|\.snap$"
+    r"|^zz_generated[._]|^bindata\.go$|_mock\.gen\.go$|^R\.java$|^BuildConfig\.java$|\.snap$"
 )
 LOCK_FILES = r"^(package-lock\.json|npm-shrinkwrap\.json|pnpm-lock\.yaml|yarn\.lock|composer\.lock|cargo\.lock|poetry\.lock|pipfile(\.lock)?\.json|pipfile\.lock|gemfile\.lock|go\.sum|podfile\.lock|packages\.lock\.json|project\.assets\.json|mix\.lock|flake\.lock|uv\.lock|pubspec\.lock|gradle\.lockfile)$"
 MINIFIED_FILES = r"[.-]min\.(js|css|mjs|cjs|html)$|\.bundle\.(js|css|mjs)$|\.chunk\.([^/]*\.)?(js|css|mjs)$|\.pack(ed)?\.js$|[.-][0-9a-f]{8,20}\.(js|css|mjs)$"
@@ -93,13 +95,14 @@ def _message_down(cavity: list[Column], table) -> list[Column]:
     return [_log_sum([cavity[i] + F.log(F.lit(table[i][j])) for i in range(5)]) for j in range(5)]
 
 
-def file_evidence(path: Column, size: Column, per_line: Column) -> list[Column]:
-    """Log likelihoods of a file's name, size and bytes per line under the five labels."""
+def file_evidence(path: Column, size: Column, per_line: Column, language: Column) -> list[Column]:
+    """Log likelihoods of a file's name, size, bytes per line and language under the five labels."""
     name = F.element_at(F.split(path, "/"), -1)
     size, per_line = F.coalesce(size, F.lit(0)), F.coalesce(per_line, F.lit(0.0))
     long = (per_line > LONG_LINE) & (size > LEAST_MINIFIED)
     huge = size >= BLOB_BYTES
-    script = paths.extension(path).isin("js", "mjs", "cjs", "css", "html", "htm", "jsx")
+    # told by the suffix, or where that is none of these and a language is given, by that
+    script = paths.extension(path).isin("js", "mjs", "cjs", "css", "html", "htm", "jsx") | (~paths.extension(path).rlike("[a-z]") & F.coalesce(language.isin("javascript", "css", "html"), F.lit(False)))
     generated = F.when(name.rlike(GENERATED_FILES) | F.lower(name).rlike(LOCK_FILES), SURE).otherwise(0.0)
     short_min = F.when(name.rlike(MINIFIED_FILES), SURE).when(long & script & ~huge, SURE).when(long, 4.0).otherwise(-4.0)
     # a long line or a huge file of any language but script is data
@@ -118,22 +121,23 @@ def dir_evidence(path: Column) -> list[Column]:
 
 
 def label_files(files: DataFrame) -> DataFrame:
-    """``path, label, p_handwritten`` for every path in ``files(path, size, line_count)``.
+    """``path, label, p_handwritten`` for every path in ``files(path, size, line_count, language)``; the language may be missing.
 
-    Paths are taken in their shortest spelling and once, with the greatest size
-    and bytes per line of their rows; null paths are left out, null sizes and
-    line counts say nothing.  An empty table gives no row.  Other columns are
+    Paths are taken in their shortest spelling and once, with the greatest size,
+    bytes per line and language name of their rows; null paths are left out, null
+    sizes, line counts and languages say nothing.  An empty table gives no row.  Other columns are
     ignored.
     """
     one = F.greatest(F.coalesce("line_count", F.lit(0)), F.lit(1))
+    named = F.lower(F.trim("language")) if "language" in files.columns else F.lit(None).cast("string")
     leaf = (
         files.where(F.col("path").isNotNull())
-        .select(paths.shortest(F.col("path")).alias("path"), F.col("size").alias("size"), (F.col("size") / one).alias("per_line"))
+        .select(paths.shortest(F.col("path")).alias("path"), F.col("size").alias("size"), (F.col("size") / one).alias("per_line"), named.alias("language"))
         .where("path <> ''")
         .groupBy("path")
-        .agg(F.max("size").alias("size"), F.max("per_line").alias("per_line"))
+        .agg(F.max("size").alias("size"), F.max("per_line").alias("per_line"), F.max("language").alias("language"))
     )
-    leaf = materialise(leaf.select("path", paths.parent(F.col("path")).alias("dir"), *[v.alias(c) for v, c in zip(file_evidence(F.col("path"), F.col("size"), F.col("per_line")), E, strict=True)]))
+    leaf = materialise(leaf.select("path", paths.parent(F.col("path")).alias("dir"), *[v.alias(c) for v, c in zip(file_evidence(F.col("path"), F.col("size"), F.col("per_line"), F.col("language")), E, strict=True)]))
     said = leaf.select("dir", *[v.alias(c) for v, c in zip(_message_up([F.col(c) for c in E], DIR_TO_FILE), E, strict=True)])
     weight = F.least(F.lit(1.0), VOICES / F.count(F.lit(1)))
     from_files = said.groupBy("dir").agg(weight.alias("w"), *[(F.sum(c) * weight).alias(f"f{c}") for c in E])
@@ -148,6 +152,12 @@ def label_files(files: DataFrame) -> DataFrame:
     dirs = materialise(dirs)
     deepest = dirs.agg(F.max("depth")).first()[0] or 0
     levels: dict[int, DataFrame] = {}
+    kept = [leaf, dirs]
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(materialise(df))
+        return kept[-1]
+
     for k in range(deepest, 0, -1):
         here = dirs.where(F.col("depth") == k)
         if k < deepest:
@@ -156,7 +166,8 @@ def label_files(files: DataFrame) -> DataFrame:
         else:
             here = here.select("dir", "up", "w", "telling", F.lit(1.0).alias("v"), *E)
         up = _message_up([F.col(c) for c in E], DIR_TO_DIR)
-        levels[k] = materialise(here.select("*", *[F.when(F.col("telling"), 0.0).otherwise(v).alias(f"m{i}") for i, v in enumerate(up)]))
+        here = here.select("*", *[F.when(F.col("telling"), 0.0).otherwise(v).alias(f"m{i}") for i, v in enumerate(up)])
+        levels[k] = keep(here)
     beliefs: list[DataFrame] = []
     for k in range(1, deepest + 1):
         if k == 1:
@@ -165,16 +176,18 @@ def label_files(files: DataFrame) -> DataFrame:
             above = beliefs[-1].select(F.col("dir").alias("up"), F.col("v").alias("av"), *[F.col(E[i]).alias(f"a{i}") for i in range(5)])
             down = _message_down([F.col(f"a{i}") - F.col(f"m{i}") * F.col("av") for i in range(5)], DIR_TO_DIR)
             here = levels[k].join(above, "up").select("dir", "w", "v", *[(F.col(E[i]) + F.when(F.col("telling"), 0.0).otherwise(down[i])).alias(E[i]) for i in range(5)])
-        beliefs.append(materialise(here))
+        beliefs.append(keep(here))
     if not beliefs:
         return leaf.select("path", F.lit(LABELS[0]).alias("label"), F.lit(1.0).alias("p_handwritten"))
     around = reduce(DataFrame.unionByName, beliefs).select("dir", "w", *[F.col(E[i]).alias(f"a{i}") for i in range(5)])
     own = _message_up([F.col(c) for c in E], DIR_TO_FILE)
     down = _message_down([F.col(f"a{i}") - own[i] * F.col("w") for i in range(5)], DIR_TO_FILE)
-    joined = leaf.join(around, "dir").select("path", *[(F.col(E[i]) + down[i]).alias(E[i]) for i in range(5)])
+    # one directory may hold a great part of all files, so each is joined in parts
+    parts = around.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    joined = leaf.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int")).join(parts, ["dir", "part"]).select("path", *[(F.col(E[i]) + down[i]).alias(E[i]) for i in range(5)])
     best = reduce(lambda acc, i: F.when(F.col(E[i]) >= F.greatest(*E), LABELS[i]).otherwise(acc), range(4, -1, -1), F.lit(LABELS[4]))
     out = joined.select("path", best.alias("label"), F.exp(F.col("e0") - _log_sum([F.col(c) for c in E])).alias("p_handwritten"))
     out = materialise(out)
-    for df in [leaf, dirs, *levels.values(), *beliefs]:
+    for df in kept:
         release(df)
     return out
