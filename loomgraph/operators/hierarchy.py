@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from ..session import materialise, release
 
 CYCLE = "(cycle)"
+PARTS = 8
+
+
+def _real(links: DataFrame) -> DataFrame:
+    return links.select("child", "parent").where("child is not null and parent is not null and child <> '' and parent <> ''")
+
+
+def _part():
+    return F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int")
+
+
+def _in_parts(df: DataFrame) -> DataFrame:
+    return df.withColumn("b_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
 
 
 def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
@@ -22,26 +35,30 @@ def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
 
     Null or empty names make no link.  Repeated links count once.  Of several
     parents of one child the least is its parent, so that each name has one
-    path; a link of a name to itself is a circle.
+    path; ``other_parents`` has the rest.  A link of a name to itself is a circle.
+
+    Most pointers soon meet in a few names, so each of these is joined in
+    ``PARTS`` parts.  Only names that are parents can be pointed at, and they
+    are few beside the others.
     """
-    real = links.select("child", "parent").where("child is not null and parent is not null and child <> '' and parent <> ''")
+    real = _real(links)
     up = real.groupBy("child").agg(F.min("parent").alias("parent"))
-    names = real.select(F.col("child").alias("name")).unionByName(real.select(F.col("parent").alias("name"))).distinct()
+    names = real.select(F.col("child").alias("name"), F.lit(False).alias("above")).unionByName(real.select(F.col("parent").alias("name"), F.lit(True).alias("above"))).groupBy("name").agg(F.max("above").alias("above"))
     # end: the name pointed at; jump: how far up it is; open: whether it has a parent itself
-    state = names.join(up, F.col("name") == F.col("child"), "left").select("name", F.coalesce("parent", "name").alias("end"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("jump"))
+    state = names.join(up, F.col("name") == F.col("child"), "left").select("name", "above", F.coalesce("parent", "name").alias("end"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("jump"))
     if with_path:
         # from just below the end down to the name
         state = state.withColumn("tail", F.when(F.col("jump") == 0, F.array().cast("array<string>")).otherwise(F.array("name")))
     state = materialise(state)
-    roots = state.where("jump = 0").select(F.col("name").alias("root"))
-    done = state.join(roots, F.col("end") == F.col("root"), "left").withColumn("open", F.col("root").isNull()).drop("root")
+    roots = _in_parts(state.where("jump = 0").select(F.col("name").alias("root")))
+    done = state.withColumn("part", _part()).join(roots, (F.col("end") == F.col("root")) & (F.col("part") == F.col("b_part")), "left").withColumn("open", F.col("root").isNull()).drop("root", "part", "b_part")
     now = materialise(done)
     release(state)
     left = now.where("open").count()
     while left:
-        ahead = now.select(F.col("name").alias("b"), F.col("end").alias("b_end"), F.col("jump").alias("b_jump"), F.col("open").alias("b_open"), *([F.col("tail").alias("b_tail")] if with_path else []))
-        moved = now.where("open").join(ahead, F.col("end") == F.col("b"))
-        columns = ["name", F.col("b_end").alias("end"), (F.col("jump") + F.col("b_jump")).alias("jump"), F.col("b_open").alias("open")]
+        ahead = now.where("above").select(F.col("name").alias("b"), F.col("end").alias("b_end"), F.col("jump").alias("b_jump"), F.col("open").alias("b_open"), *([F.col("tail").alias("b_tail")] if with_path else []))
+        moved = now.where("open").withColumn("part", _part()).join(_in_parts(ahead), (F.col("end") == F.col("b")) & (F.col("part") == F.col("b_part")))
+        columns = ["name", "above", F.col("b_end").alias("end"), (F.col("jump") + F.col("b_jump")).alias("jump"), F.col("b_open").alias("open")]
         if with_path:
             columns.append(F.concat("b_tail", "tail").alias("tail"))
         finished = now.where("not open")
@@ -64,3 +81,10 @@ def descendants(tree: DataFrame) -> DataFrame:
     """
     each = tree.where("path is not null and size(path) > 1").select("name", "depth", F.posexplode("path").alias("at", "ancestor"))
     return each.where("at < depth").select("ancestor", F.col("name").alias("descendant"), (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def other_parents(links: DataFrame) -> DataFrame:
+    """``child, parent, kept_parent``: the links that ``hierarchy`` does not follow, once each."""
+    real = _real(links).distinct()
+    kept = real.groupBy("child").agg(F.min("parent").alias("kept_parent"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return real.join(kept, "child").where("parent <> kept_parent").select("child", "parent", "kept_parent")

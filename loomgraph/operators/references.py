@@ -3,8 +3,10 @@
 A Bloom filter over the parents' keys proves most orphans without a join; only
 references it lets through are joined exactly.  The filter is made by one
 aggregation inside the query and handed to the tasks as a scalar.  Its size
-follows the number of parents and is checked against ``MAX_FILTER_BITS``;
-beyond that no filter is sent and every reference takes the exact join.
+follows the number of different parent keys.  A filter of more than
+``MAX_FILTER_BITS`` is made in parts by the hash of the key: both sides are
+written out by part, and each part's references meet only their part's filter,
+so that no broadcast is larger than that bound.
 """
 
 from __future__ import annotations
@@ -14,22 +16,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 from pyspark.sql.internal import InternalFunction
 
+from ..session import materialise_all, release
+
 MAX_FILTER_BITS = 256 * 1024 * 1024
 BITS_PER_KEY = 10
 
 
-def bloom_filter(parents: DataFrame, hashed: Column, n_keys: int) -> Column | None:
-    """A scalar column with the filter over ``hashed``, or None if it would be too large."""
+def bloom_filter(hashes: DataFrame, n_keys: int) -> Column:
+    """A scalar column with the filter over the column ``h``."""
     bits = max(1024, n_keys * BITS_PER_KEY)
-    if bits > MAX_FILTER_BITS:
-        return None
-    # the aggregate refuses more than this session setting, whose default is lower than our own bound
-    conf = parents.sparkSession.conf
+    # the aggregate cuts to these session settings, whose defaults are lower than our own bound
+    conf = hashes.sparkSession.conf
     for name, least in (("spark.sql.optimizer.runtime.bloomFilter.maxNumBits", bits), ("spark.sql.optimizer.runtime.bloomFilter.maxNumItems", n_keys)):
         if int(conf.get(name)) < least:
             conf.set(name, str(least))
     made = InternalFunction._invoke_internal_function_over_columns("bloom_filter_agg", F.col("h"), F.lit(max(1, n_keys)).cast("long"), F.lit(bits).cast("long"))
-    return parents.select(hashed.alias("h")).agg(made.alias("filter")).scalar()
+    return hashes.select("h").agg(made.alias("filter")).scalar()
 
 
 def might_contain(spark, made: Column, hashed: Column) -> Column:
@@ -53,7 +55,6 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     real = refs.where(F.col("key").isNotNull() & (F.trim("key") != "") & F.col("run").isNotNull())
     there = parents.where(F.col("key").isNotNull() & F.col("first_run").isNotNull()).select("kind", "key", "first_run", "end_run")
     hashed = F.xxhash64("kind", "key")
-    made = bloom_filter(there, hashed, there.count())
 
     def exact(some: DataFrame) -> DataFrame:
         r, p = some.alias("r"), there.alias("p")
@@ -61,7 +62,24 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
         lives = (F.col("p.first_run") <= F.col("r.run")) & (F.col("p.end_run").isNull() | (F.col("r.run") < F.col("p.end_run")))
         return r.join(p, same & lives, "left_anti")
 
-    if made is None:
-        return exact(real)
-    maybe = might_contain(spark, made, hashed)
-    return real.where(~maybe).unionByName(exact(real.where(maybe)))
+    hashes = there.select(hashed.alias("h"))
+    # different keys, not deliveries; the count only sizes the filter
+    n_keys = hashes.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    parts = min(max(1, n_keys), -(-max(1, n_keys) * BITS_PER_KEY // MAX_FILTER_BITS))
+    if parts == 1:
+        maybe = might_contain(spark, bloom_filter(hashes, n_keys), hashed)
+        return real.where(~maybe).unionByName(exact(real.where(maybe)))
+
+    part = F.pmod(F.xxhash64("kind", "key", F.lit(5)), F.lit(parts)).cast("int").alias("__part")
+    keys = materialise_all([there.select(hashed.alias("h"), part)], "__part")
+    asked = materialise_all([real.select("*", part)], "__part")
+
+    def tested():
+        for k in range(parts):
+            made = bloom_filter(keys.where(F.col("__part") == k), -(-n_keys // parts))
+            yield asked.where(F.col("__part") == k).drop("__part").withColumn("__maybe", might_contain(spark, made, hashed))
+
+    known = materialise_all(tested(), "__maybe")
+    release(keys)
+    release(asked)
+    return known.where("not __maybe").drop("__maybe").unionByName(exact(known.where("__maybe").drop("__maybe")))

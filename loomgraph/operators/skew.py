@@ -164,10 +164,11 @@ def key_profile(df: DataFrame, key: str, id_col: str, file_col: str, repo_col: s
     narrow = df.select(
         F.col(key).cast("string").alias("key_text"), F.col(id_col).alias("i"), F.col(file_col).alias("f"), F.col(repo_col).alias("r"), F.coalesce(resolved, F.lit(False)).cast("int").alias("ok")
     )
-    rows = spread(narrow, "key_text", plan_loads(narrow, "key_text"), ["f"]).drop(KEY)
-    per_file = rows.groupBy(SLOT, "key_text", "r", "f", "i").agg(F.max("ok").alias("ok")).groupBy(SLOT, "key_text", "r", "f").agg(F.count("i").alias("n_ids"), F.sum("ok").alias("n_ok"))
-    per_repo = per_file.groupBy(SLOT, "key_text", "r").agg(F.sum("n_ids").alias("n_ids"), F.count("f").alias("n_files"), F.sum("n_ok").alias("n_ok"))
-    merged = per_repo.repartition(F.col("key_text")).groupBy("key_text", "r").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_files").alias("n_files"), F.sum("n_ok").alias("n_ok"))
+    # by id, so that a key of one file is split like any other; files are then merged over the shards
+    rows = spread(narrow, "key_text", plan_loads(narrow, "key_text"), ["i"]).drop(KEY)
+    per_slot = rows.groupBy(SLOT, "key_text", "r", "f", "i").agg(F.max("ok").alias("ok")).groupBy(SLOT, "key_text", "r", "f").agg(F.count("i").alias("n_ids"), F.sum("ok").alias("n_ok"))
+    per_file = per_slot.groupBy("key_text", "r", "f").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_ok").alias("n_ok"))
+    merged = per_file.groupBy("key_text", "r").agg(F.sum("n_ids").alias("n_ids"), F.count("f").alias("n_files"), F.sum("n_ok").alias("n_ok"))
     return (
         merged.groupBy("key_text")
         .agg(F.sum("n_ids").alias("n_ids"), F.sum("n_files").alias("n_files"), F.count("r").alias("n_repos"), F.sum("n_ok").alias("n_resolved"))

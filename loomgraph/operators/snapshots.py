@@ -23,8 +23,9 @@ def snapshot_changes(rows: DataFrame, snapshot: str, key: Column, content: Colum
     kind = dict(rows.dtypes)[snapshot]
     pairs = spark.createDataFrame(list(zip(delivered, delivered[1:], strict=False)), f"was {kind}, later {kind}")
     distinct = state.groupBy("snapshot_no", "key").agg(F.max("h").alias("h"))
-    now = distinct.join(F.broadcast(pairs), F.col("snapshot_no") == F.col("later"), "left_semi")
-    before = state.join(F.broadcast(pairs), F.col("snapshot_no") == F.col("was")).groupBy(F.col("later").alias("snapshot_no"), "key").agg(F.max("h").alias("h_before"))
+    # both sides read the same exchange: one aggregation, under its own run's number and under the next one's
+    now = distinct.join(F.broadcast(pairs), F.col("snapshot_no") == F.col("later")).select("snapshot_no", "key", "h")
+    before = distinct.join(F.broadcast(pairs), F.col("snapshot_no") == F.col("was")).select(F.col("later").alias("snapshot_no"), "key", F.col("h").alias("h_before"))
     both = now.join(before, ["snapshot_no", "key"], "full_outer")
     change = F.when(F.col("h_before").isNull(), "added").when(F.col("h").isNull(), "removed").when(F.col("h") != F.col("h_before"), "changed")
     return both.select("snapshot_no", "key", change.alias("change_kind")).where("change_kind is not null")

@@ -143,7 +143,12 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return tree.descendants(tree.hierarchy(type_links(spark, d), with_path=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_definitions, p3_found, p3_counts, p4_found, p4_counts, p5_found, p5_paths, p5_descendants)}
+def p5_other_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Links to further parents of a type, which its one path does not follow."""
+    return tree.other_parents(type_links(spark, d)).select(F.col("child").alias("type_name"), F.col("parent").alias("other_parent"), "kept_parent")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_profile, p1_definitions, p3_found, p3_counts, p4_found, p4_counts, p5_found, p5_paths, p5_descendants, p5_other_parents)}
 
 
 def sql_path(x: str) -> str:
@@ -222,4 +227,6 @@ ORACLE = {
         (select count(*) from walk v where v.depth > w.depth and list_contains(string_split(v.path, ' > '), w.n)) as n_descendants from names left join walk w using (n)""",
     "p5_descendants": f"""{SQL_TREE} select ancestor, n as descendant, (depth + 1 - place)::int as distance from (
         select n, depth, unnest(string_split(path, ' > ')) as ancestor, unnest(range(1, depth + 2)) as place from walk) where place <= depth""",
+    "p5_other_parents": f"""with rel as (select distinct {sql_bare("implementing_type")} as c, {sql_bare("trait_or_interface")} as p from type_impls where kind is null or kind <> 'derive')
+        select c as type_name, p as other_parent, kept as kept_parent from rel join (select c, min(p) as kept from rel where c <> '' and p <> '' group by c) using (c) where p <> kept and p <> '' and c <> ''""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,11 +30,14 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a
-    temporary folder is made and kept in the setting.
+    Where ``spark.checkpoint.dir`` is unset a local master gets a temporary folder,
+    kept in the setting; any other master is refused, as executors on other
+    machines could not read what one of them wrote.
     """
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         got = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         spark.conf.set("spark.checkpoint.dir", got)
     return got
@@ -53,6 +57,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_all(parts: Iterable[DataFrame], split_by: str) -> DataFrame:
+    """``materialise`` for tables of one schema, written one after the other into one table laid out by ``split_by``."""
+    path = schema = None
+    for df in parts:
+        if path is None:
+            spark, schema = df.sparkSession, df.schema
+            path = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
+            _written.append((spark, path))
+        df.write.mode("append").partitionBy(split_by).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def release(df: DataFrame) -> None:
     """Remove the files under a result of ``materialise`` that is done with."""
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
