@@ -6,23 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, release
+from .skew import balanced_join
 
 CYCLE = "(cycle)"
-PARTS = 8
 
 
 def _real(links: DataFrame) -> DataFrame:
     return links.select("child", "parent").where("child is not null and parent is not null and child <> '' and parent <> ''")
 
 
-def _part():
-    return F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int")
-
-
-def _in_parts(df: DataFrame) -> DataFrame:
-    return df.withColumn("b_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-
-
 def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     """``name, root, depth`` (and ``path``, an array from the root) for every name in ``links(child, parent)``.
 
@@ -37,9 +29,9 @@ def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     parents of one child the least is its parent, so that each name has one
     path; ``other_parents`` has the rest.  A link of a name to itself is a circle.
 
-    Most pointers soon meet in a few names, so each of these is joined in
-    ``PARTS`` parts.  Only names that are parents can be pointed at, and they
-    are few beside the others.
+    Most pointers soon meet in a few names, so the joins share these out by
+    their load.  Only names that are parents can be pointed at, and they are few
+    beside the others.
     """
     real = _real(links)
     up = real.groupBy("child").agg(F.min("parent").alias("parent"))
@@ -50,14 +42,14 @@ def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
         # from just below the end down to the name
         state = state.withColumn("tail", F.when(F.col("jump") == 0, F.array().cast("array<string>")).otherwise(F.array("name")))
     state = materialise(state)
-    roots = _in_parts(state.where("jump = 0").select(F.col("name").alias("root")))
-    done = state.withColumn("part", _part()).join(roots, (F.col("end") == F.col("root")) & (F.col("part") == F.col("b_part")), "left").withColumn("open", F.col("root").isNull()).drop("root", "part", "b_part")
+    roots = state.where("jump = 0").select(F.col("name").alias("root"))
+    done = balanced_join(state, roots, "end", "root", ["name"], "left").withColumn("open", F.col("root").isNull()).drop("root")
     now = materialise(done)
     release(state)
     left = now.where("open").count()
     while left:
         ahead = now.where("above").select(F.col("name").alias("b"), F.col("end").alias("b_end"), F.col("jump").alias("b_jump"), F.col("open").alias("b_open"), *([F.col("tail").alias("b_tail")] if with_path else []))
-        moved = now.where("open").withColumn("part", _part()).join(_in_parts(ahead), (F.col("end") == F.col("b")) & (F.col("part") == F.col("b_part")))
+        moved = balanced_join(now.where("open"), ahead, "end", "b", ["name"])
         columns = ["name", "above", F.col("b_end").alias("end"), (F.col("jump") + F.col("b_jump")).alias("jump"), F.col("b_open").alias("open")]
         if with_path:
             columns.append(F.concat("b_tail", "tail").alias("tail"))
