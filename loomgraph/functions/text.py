@@ -39,8 +39,8 @@ def keyword_score(text: Column, query: str) -> Column:
 
 
 def normal_score(score: Column) -> Column:
-    """A confidence score within 0 to 100; not-a-number counts as 0."""
-    return F.when(F.isnan(score), 0.0).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)))
+    """A confidence score within 0 to 100; not-a-number and the infinities count as 0."""
+    return F.when(F.isnan(score) | (F.abs(score) == float("inf")), 0.0).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)))
 
 
 def confidence_label(score: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,58 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     return now.select(F.col("src").alias("node")).distinct()
 
 
+def circles(edges: DataFrame) -> DataFrame:
+    """``circle, node``: the nodes that lie on circles, under the greatest name of those that reach each other.
+
+    Colours run forward: every node takes the greatest name that reaches it, so
+    that what can reach each other has one colour.  From the node a colour is
+    named after, the way back within the colour gives its circle; what is left
+    goes through the same again.  Each step joins edges with a row per node, so a
+    node of very many edges is no more than that.  Null ends are no edges; a node
+    with an edge to itself is a circle of its own.
+    """
+    spark = edges.sparkSession
+    left = materialise(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    found = [spark.createDataFrame([], "circle string, node string")]
+    while left.take(1):
+        # without the nodes that have no way in or no way out
+        n, was = left.count(), -1
+        while n and n != was:
+            inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            after = materialise(inner.select("src", "dst"))
+            release(left)
+            left, was, n = after, n, after.count()
+        if not n:
+            break
+        colour = materialise(left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            told = left.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("above"))
+            next_ = materialise(colour.join(told, F.col("node") == F.col("dst"), "left").select("node", F.greatest("colour", "above").alias("colour"), (F.coalesce("above", "colour") > F.col("colour")).alias("moved")))
+            release(colour)
+            colour = next_.select("node", "colour")
+            if not next_.where("moved").take(1):
+                break
+        own = colour.select(F.col("node").alias("src"), F.col("colour").alias("c"))
+        same = left.join(own, "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c")), ["dst", "c"]).select("src", "dst")
+        back = materialise(same.select(F.col("dst").alias("from"), F.col("src").alias("to")))
+        reached = materialise(colour.where("node = colour").select("node"))
+        front = reached
+        while front.take(1):
+            front = materialise(front.join(back, F.col("node") == F.col("from")).select(F.col("to").alias("node")).distinct().join(reached, "node", "left_anti"))
+            grown = materialise(reached.unionByName(front))
+            reached = grown
+        circle = materialise(colour.join(reached, "node", "left_semi").select(F.col("colour").alias("circle"), "node"))
+        sizes = circle.groupBy("circle").count().where("count > 1").select("circle")
+        loops = left.where("src = dst").select(F.col("src").alias("circle")).distinct()
+        # written out, as the edges it is told from are released below
+        found.append(materialise(circle.join(sizes.unionByName(loops).distinct(), "circle", "left_semi")))
+        rest = left.join(reached.select(F.col("node").alias("src")), "src", "left_anti").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti")
+        after = materialise(rest.select("src", "dst"))
+        release(left)
+        left = after
+    return reduce(DataFrame.unionByName, found)
+
+
 def call_edges(calls: DataFrame) -> DataFrame:
     """Distinct caller-callee pairs of resolved calls: ``src, dst``."""
     there = calls.where("caller_symbol is not null and resolved_symbol is not null and trim(resolved_symbol) <> ''")
@@ -61,9 +115,11 @@ def impact(calls: DataFrame, symbols: DataFrame, file_part: str, max_depth: int)
     of that file.
     """
     defs = symbols.select(F.concat("file", F.lit("::"), "name").alias("key"), F.col("file").alias("sf")).distinct()
-    hops = calls.where("resolved_symbol is not null and trim(resolved_symbol) <> ''").select(F.col("resolved_symbol").alias("src"), F.col("file").alias("cf")).distinct()
-    edges = hops.join(defs, F.col("cf") == F.col("sf")).select("src", F.col("key").alias("dst"))
-    return reach(edges, defs.where(F.contains("sf", F.lit(file_part))).select(F.col("key").alias("node")), max_depth)
+    hops = calls.where("resolved_symbol is not null and trim(resolved_symbol) <> ''").select(F.col("resolved_symbol").alias("key"), F.col("file").alias("dst")).distinct()
+    # from file to file; symbols come in once at the end
+    edges = hops.join(defs, "key").select(F.col("sf").alias("src"), "dst").distinct()
+    files = reach(edges, defs.where(F.contains("sf", F.lit(file_part))).select(F.col("sf").alias("node")), max_depth)
+    return files.join(defs, F.col("node") == F.col("sf")).select(F.col("key").alias("node"), "depth")
 
 
 def dead_symbols(symbols: DataFrame, used: DataFrame, mentions: DataFrame) -> DataFrame:

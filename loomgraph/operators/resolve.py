@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .skew import balanced_join
 
 # fixed values: precedence of relation kinds, most telling last
 KIND_ORDER = ("implements", "trait_impl", "derive", "extends", "c_sharp_inheritance", "cpp_inheritance")
+# lines in a part of a file that ranges are compared in
+STRETCH = 200
 # fixed values: confidence of each step of the call cascade
 SAME_FILE, IMPORTED, PROJECT, OBJECT_IMPORT, LOCAL_OBJECT = 98.0, 95.0, 40.0, 95.0, 98.0
 
@@ -40,11 +43,12 @@ def call_targets(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> Da
         return df.join(side, (file == F.col("df")) & (name == F.col("dn")), "left").drop("df", "dn")
 
     one = calls.select("id", "file", "callee_text", "object_text").dropDuplicates(["id"])
-    steps = at(one, F.col("file"), F.col("callee_text"), "same_file")
+    # a few names hold most calls, so this side is shared out by their load
+    steps = balanced_join(one, anywhere, "callee_text", "name", ["id"], "left").drop("name")
+    steps = at(steps, F.col("file"), F.col("callee_text"), "same_file")
     imp = bound.select(F.col("file").alias("bf"), F.col("local_name").alias("bn"), F.col("resolved_file").alias("imp_file"), F.coalesce("imported_name", "local_name").alias("imp_name"))
     steps = steps.join(imp, (F.col("file") == F.col("bf")) & (F.col("callee_text") == F.col("bn")), "left").drop("bf", "bn")
     steps = at(steps, F.col("imp_file"), F.col("imp_name"), "imported")
-    steps = steps.join(anywhere, F.col("callee_text") == anywhere["name"], "left").drop("name")
     obj = bound.select(F.col("file").alias("of"), F.col("local_name").alias("on"), F.col("resolved_file").alias("obj_file"))
     steps = steps.join(obj, (F.col("file") == F.col("of")) & (F.col("object_text") == F.col("on")), "left").drop("of", "on")
     steps = at(steps, F.col("obj_file"), F.col("callee_text"), "object_import")
@@ -57,13 +61,14 @@ def call_targets(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> Da
 def enclosing(points: DataFrame, symbols: DataFrame, innermost: bool = False) -> DataFrame:
     """``id, enclosing`` of every point ``id, file, line``: the first symbol of its file around it, or the innermost one.
 
-    The join is on the file, so a range is held only against the symbols of
-    its file.  Points outside every symbol get null.
+    The join is on the file and a stretch of ``STRETCH`` lines, so a point is held
+    only against the symbols of its stretch, and a large file is many keys.
+    Points outside every symbol get null, and so do those without a line.
     """
-    one = points.select("id", F.col("file").alias("pf"), "line").dropDuplicates(["id"])
-    spans = symbols.select("file", "name", "line_start", "line_end", F.col("id").alias("sid"))
+    one = points.select("id", F.col("file").alias("pf"), "line").dropDuplicates(["id"]).withColumn("ps", F.floor(F.col("line") / STRETCH))
+    spans = symbols.where("line_start <= line_end").select("file", "name", "line_start", "line_end", F.col("id").alias("sid"), F.explode(F.sequence(F.floor(F.col("line_start") / STRETCH), F.floor(F.col("line_end") / STRETCH))).alias("stretch"))
     order = [F.col("line_end") - F.col("line_start")] if innermost else []
-    hit = one.join(spans, (F.col("pf") == F.col("file")) & (F.col("line") >= F.col("line_start")) & (F.col("line") <= F.col("line_end")))
+    hit = one.join(spans, (F.col("pf") == F.col("file")) & (F.col("ps") == F.col("stretch")) & (F.col("line") >= F.col("line_start")) & (F.col("line") <= F.col("line_end")))
     return one.select("id").join(first_by(hit, ["id"], [*order, F.col("line_start"), F.col("sid")], ["file", "name"]), "id", "left").select("id", F.concat("file", F.lit("::"), "name").alias("enclosing"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..functions import text as T
 from ..operators import budget, graph, resolve
-from ..sources.tables import table
+from ..sources.tables import last_runs, table
 from .book import Book
 
 book = Book()
@@ -93,8 +93,9 @@ def index_freshness(spark: SparkSession, d: str) -> DataFrame:
 def plan_status(spark: SparkSession, d: str) -> DataFrame:
     """Items of a run against a cache by content hash: new, updated or unchanged."""
     files = table(spark, d, "files").select("snapshot_no", "path", F.lower("hash").alias("h"))
-    now = files.where("snapshot_no = 107").groupBy("path").agg(F.max("h").alias("h"))
-    old = files.where("snapshot_no = 105").groupBy("path").agg(F.max("h").alias("old"))
+    before, last = last_runs(spark, d)
+    now = files.where(F.col("snapshot_no") == last).groupBy("path").agg(F.max("h").alias("h"))
+    old = files.where(F.col("snapshot_no") == before).groupBy("path").agg(F.max("h").alias("old"))
     status = F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("h"), "unchanged").otherwise("updated")
     return now.join(old, "path", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -147,6 +148,14 @@ def file_imports(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "imports").where(keep).select("id", "file", "source", F.col("confidence.score").alias("score"))
 
 
+@q("""select * from (select id, file, source, case when isnan(confidence.score) or isinf(confidence.score) then 0.0 else least(greatest(confidence.score, 0.0), 100.0) end as score from imports
+      where contains(file, '/src/') and trim(resolved_file) <> '') where score >= 90""")
+def file_imports_normal(spark: SparkSession, d: str) -> DataFrame:
+    """As ``file_imports``, with scores brought within 0 to 100; what is no finite number counts as 0 and is not let through."""
+    rows = table(spark, d, "imports").where(F.contains("file", F.lit("/src/")) & there("resolved_file"))
+    return rows.select("id", "file", "source", T.normal_score(F.col("confidence.score")).alias("score")).where("score >= 90")
+
+
 @q("select distinct * from (select 'out' as direction, id from calls where contains(caller_symbol, 'parse') union all select 'in', id from calls where callee_text = 'get')")
 def calls_from_to(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "calls")
@@ -277,7 +286,7 @@ def code_edges(spark: SparkSession, d: str) -> DataFrame:
 @q(f"with e as ({EDGES}), n as (select path as x from files where snapshot_no = 107) select e.* from e where from_id in (select x from n) and to_id in (select x from n)")
 def edges_retained(spark: SparkSession, d: str) -> DataFrame:
     """Edges with both ends among the files of the last run."""
-    kept = table(spark, d, "files").where("snapshot_no = 107").select(F.col("path").alias("x")).distinct()
+    kept = table(spark, d, "files").where(F.col("snapshot_no") == last_runs(spark, d)[1]).select(F.col("path").alias("x")).distinct()
     e = _edges(spark, d)
     return e.join(kept, e.from_id == kept.x, "left_semi").join(kept, e.to_id == kept.x, "left_semi")
 
@@ -325,12 +334,24 @@ def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     return bfs_callers(spark, d).select("node").distinct()
 
 
-@q()
+TYPE_REACH = """with recursive e as (select distinct implementing_type as src, trait_or_interface as dst from type_impls where kind <> 'derive'),
+      r(a, b) as (select src, dst from e union select r.a, e.dst from r join e on r.b = e.src), c as (select a from r where a = b)"""
+
+
+@q(f"{TYPE_REACH} select a as node from c union select x.b from r x join r y on x.b = y.a where x.a in (select a from c) and y.b in (select a from c)")
 def cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Types on circles and on ways from one circle to another."""
     links = table(spark, d, "type_impls").where("kind <> 'derive'").select(F.col("implementing_type").alias("src"), F.col("trait_or_interface").alias("dst"))
     return graph.on_cycles(links)
 
 
+@q(f"{TYPE_REACH} select max(x.b) as circle, x.a as node from r x join r y on x.a = y.b and x.b = y.a group by x.a")
+def cycle_list(spark: SparkSession, d: str) -> DataFrame:
+    """The circles of types, each under its greatest name, with the types on it."""
+    links = table(spark, d, "type_impls").where("kind <> 'derive'").select(F.col("implementing_type").alias("src"), F.col("trait_or_interface").alias("dst"))
+    return graph.circles(links)
+
+
 @q("""with recursive k as (select distinct file || '::' || name as key, file as sf from symbols), h as (select distinct resolved_symbol as src, file as cf from calls where trim(resolved_symbol) <> ''),
       e as (select distinct src, key as dst from h join k on cf = sf), s as (select key as node from k where contains(sf, '/token/')),
       w(node, depth) as (select node, 0 from s union select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 3)
@@ -370,7 +391,8 @@ def file_diff(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.incremental import file_changes
 
     f = table(spark, d, "files")
-    return file_changes(f.where("snapshot_no = 105"), f.where("snapshot_no = 107"))
+    before, last = last_runs(spark, d)
+    return file_changes(f.where(F.col("snapshot_no") == before), f.where(F.col("snapshot_no") == last))
 
 
 @q("select symbol_id, m from (select id as symbol_id, count(*) as m from symbols group by id) where m > 1")

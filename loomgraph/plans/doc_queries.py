@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, docs, export
-from ..sources.tables import table
+from ..sources.tables import last_runs, table
 from .book import Book
 
 book = Book()
@@ -39,7 +39,9 @@ def headings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(T.headings(F.col("text"))).alias("x")).select("doc_id", "x.level", "x.text")
 
 
-@q()
+# runs of brackets become a mark that no link may hold, as a link's opening is not preceded by another
+@q("""select doc_id, regexp_extract(x, '^\\[([^\\]]*)\\]', 1) as text, replace(regexp_extract(x, '\\((.*)\\)$', 1), chr(2), '[[') as url
+      from (select doc_id, unnest(regexp_extract_all(regexp_replace(text, '\\[{2,}', chr(2), 'g'), '\\[[^\\[\\]\\x02]*\\]\\([^()\\s]+\\)', 0)) as x from documents)""")
 def markdown_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(T.markdown_links(F.col("text"))).alias("x")).select("doc_id", "x.text", "x.url")
 
@@ -72,7 +74,8 @@ def backlinks(spark: SparkSession, d: str) -> DataFrame:
 def bridge_built(spark: SparkSession, d: str) -> DataFrame:
     """The bridge built anew from the documents, the last run's files and all symbols."""
     nodes, front = _nodes(spark, d)
-    return docs.bridge(nodes, front, table(spark, d, "files").where("snapshot_no = 107"), table(spark, d, "symbols"))
+    _, last = last_runs(spark, d)
+    return docs.bridge(nodes, front, table(spark, d, "files").where(F.col("snapshot_no") == last), table(spark, d, "symbols"))
 
 
 @q("select id, from_id, to_id, edge_type from bridge_edges where to_id not in (select path from files) and to_id not in (select file || '::' || name from symbols)")
@@ -98,7 +101,8 @@ def diff_context(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.incremental import file_changes
 
     f = table(spark, d, "files")
-    changed = file_changes(f.where("snapshot_no = 105"), f.where("snapshot_no = 107")).where("status <> 'deleted'")
+    before, last = last_runs(spark, d)
+    changed = file_changes(f.where(F.col("snapshot_no") == before), f.where(F.col("snapshot_no") == last)).where("status <> 'deleted'")
     return context.affected(changed, *[table(spark, d, t) for t in ("symbols", "calls", "imports", "bridge_edges")])
 
 
@@ -183,10 +187,15 @@ def context_query_all(spark: SparkSession, d: str) -> DataFrame:
     return context.bounded_with_code(context.candidates(_facts_all(spark, d), "vault"), table(spark, d, "symbols"), _code(spark, d), "vault", 1200)
 
 
+def _first(df: DataFrame, key: str) -> DataFrame:
+    """Each id once, with the least of its rows, so that every run takes the same."""
+    return df.groupBy(key).agg(F.min(F.struct(*df.columns)).alias("__row")).select("__row.*")
+
+
 @q()
 def export_bounded(spark: SparkSession, d: str) -> DataFrame:
     facts = {"symbol": ("symbols", "id"), "import": ("imports", "id"), "call": ("calls", "id"), "type_impl": ("type_impls", "id"), "bridge": ("bridge_edges", "id"), "doc_edge": ("doc_edges", "id")}
-    once = {k: (table(spark, d, t).dropDuplicates([key]), key) for k, (t, key) in facts.items()}
+    once = {k: (_first(table(spark, d, t), key), key) for k, (t, key) in facts.items()}
     return context.export_bounded(once, 12_000, "collection")
 
 
@@ -221,7 +230,13 @@ def session_debounce(spark: SparkSession, d: str) -> DataFrame:
     return sessions(table(spark, d, "events"), "ts", "user_id", "30 minutes").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.max("n_events").alias("longest"))
 
 
-@q()
+STILL = "list_filter(w.recent, lambda x: e.t - x < 3600)"
+
+
+@q(f"""with recursive e as (select user_id, event_id, epoch_us(ts) / 1e6 as t, row_number() over (partition by user_id order by ts, event_id) as k from events where ts is not null and user_id is not null),
+      w(user_id, k, event_id, recent, admitted) as (select distinct user_id, 0::bigint, event_id, []::double[], false from e where k = 1
+        union all select e.user_id, e.k, e.event_id, case when len({STILL}) < 5 then list_append({STILL}, e.t) else {STILL} end, len({STILL}) < 5 from w join e on e.user_id = w.user_id and e.k = w.k + 1)
+      select user_id, event_id, admitted from w where k > 0""")
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Admitted and refused events of each user at five an hour; refused ones do not count."""
     from ..streaming.watch import admit

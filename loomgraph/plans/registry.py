@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import code_queries, doc_queries, problems, search_queries
+from . import code_queries, doc_queries, problems, search_queries, view_queries
 
-MODULES = [problems, search_queries, code_queries, doc_queries]
+MODULES = [problems, search_queries, code_queries, doc_queries, view_queries]
 
 
 def queries() -> dict:

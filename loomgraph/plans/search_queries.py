@@ -34,7 +34,7 @@ def regex_search(spark: SparkSession, d: str) -> DataFrame:
     return S.find_regex(doc_lines(spark, d), "[a-z]+_[a-z]+")
 
 
-@q()
+@q(f"select doc_id, line::int as line, content, (strlen(substr(content, 1, (p - 1)::int)) + 1)::int as byte_column from (select *, unnest(range(1, length(content) + 1)) as p from ({LINES}) where contains(content, 'ee')) where substr(content, p::int, 2) = 'ee'")
 def find_overlapping(spark: SparkSession, d: str) -> DataFrame:
     return S.overlapping(S.find_literal(doc_lines(spark, d), "ee", ignore_case=False), "ee")
 

@@ -69,6 +69,13 @@ def materialise_all(parts: Iterable[DataFrame], split_by: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def release(df: DataFrame) -> None:
     """Remove the files under a result of ``materialise`` that is done with."""
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:

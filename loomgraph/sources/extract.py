@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,8 +64,13 @@ def blank(text: str, language: str, strings: bool) -> str:
     return re.sub(f"({comment})|({string})", lambda m: re.sub(r"[^\n]", " ", m[0]) if m[1] or strings else m[0], text, flags=re.S)
 
 
+@lru_cache(maxsize=8)
+def _line_ends(text: str) -> list[int]:
+    return [m.start() for m in re.finditer("\n", text)]
+
+
 def line_of(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
+    return bisect_left(_line_ends(text), at) + 1
 
 
 def closing(text: str, at: int, pair: str = "{}") -> int:
@@ -190,7 +197,7 @@ OTHERS = tuple(SYMBOLS)
 @extractor(*OTHERS)
 def pattern_facts(path: str, language: str, text: str) -> Iterator[Row]:
     code, plain = blank(text, language, True), blank(text, language, False)
-    lines = code.split("\n")
+    lines, written = code.split("\n"), text.split("\n")
     declared = set()
     for kind, pattern in SYMBOLS[language]:
         for m in re.finditer(pattern, code):
@@ -198,7 +205,7 @@ def pattern_facts(path: str, language: str, text: str) -> Iterator[Row]:
             declared.add(at)
             line = line_of(code, at)
             head = lines[line - 1]
-            above = text.split("\n")[max(0, line - 3) : line - 1]
+            above = written[max(0, line - 3) : line - 1]
             test = language == "rust" and any("#[test" in x or "::test" in x for x in above) or language == "go" and m[1].startswith("Test") and "testing.T" in code[at : at + 200]
             yield "symbol", kind, m[1], None, line, line_of(code, closing(code, at)), {"exported": str(exported(language, m[1], head)).lower(), "visibility": visibility(language, m[1], head), "test": str(bool(test)).lower()}
     for kind, pattern in IMPORTS[language]:

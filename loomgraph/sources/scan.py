@@ -45,6 +45,25 @@ def glob_regex(globs: list[str]) -> str:
     return "^(?:" + "|".join(map(one, globs)) + ")$" if globs else ""
 
 
+def ignored(path: Column, rules: str) -> Column:
+    """Whether an ignore file at the root leaves a path out: the last rule that matches decides, ``!`` takes back.
+
+    A rule with a slash before its end holds from the root, any other at every
+    depth; what is below an ignored folder is ignored.  Blank lines and comments are no rules.
+    """
+    out = F.lit(False)
+    for line in rules.splitlines():
+        rule = line.strip()
+        if not rule or rule.startswith("#"):
+            continue
+        back, rule = rule.startswith("!"), rule.removeprefix("!")
+        folder, rule = rule.endswith("/"), rule.rstrip("/")
+        start = "^" if "/" in rule else "(^|/)"
+        inner = glob_regex([rule.lstrip("/")]).removeprefix("^").removesuffix("$")
+        out = F.when(path.rlike(f"{start}{inner}{'/' if folder else '(/|$)'}"), F.lit(not back)).otherwise(out)
+    return out
+
+
 def detected_language(path: Column) -> Column:
     """Language by extension, ``unknown`` for any other."""
     pairs = [F.lit(x) for kv in LANGUAGES.items() for x in kv]
@@ -61,10 +80,10 @@ def is_binary(path: Column) -> Column:
     return paths.extension(path).isin(*BINARY)
 
 
-def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, ignore: str | None = None) -> DataFrame:
     """``path, kind, language, hash, size, modified, content`` of the text files below ``root``.
 
-    Globs and the binary filter are put to the path; of the columns only those
+    Globs, the rules of an ignore file and the binary filter are put to the path; of the columns only those
     used are read, so a scan for names alone reads no content.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -75,6 +94,8 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
         keep &= F.col("rel").rlike(glob_regex(include))
     if exclude:
         keep &= ~F.col("rel").rlike(glob_regex(exclude))
+    if ignore:
+        keep &= ~ignored(F.col("rel"), ignore)
     c = F.col("rel")
     out = raw.withColumn("rel", rel).where(keep)
     return out.select(c.alias("path"), file_kind(c).alias("kind"), detected_language(c).alias("language"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))

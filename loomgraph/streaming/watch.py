@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import deque
 from collections.abc import Callable
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+# fixed value: seconds of rest after repeated failures
+REST = 30.0
 RELEVANT = r"\.(rs|py|pyi|tsx?|mts|jsx?|mjs|cjs|go|c|h|cpp|cc|hpp|cs|java|kt|kts|swift|md|mdx|json|ya?ml|toml)$"
 
 
@@ -64,35 +67,55 @@ def admit(events: DataFrame, ts: str, key: str, item: str, most: int, span: floa
     return ordered.mapInPandas(run, f"{key} {kinds[key]}, {item} {kinds[item]}, admitted boolean")
 
 
-def admit_stream(events: DataFrame, ts: str, key: str, item: str, most: int, span: float) -> DataFrame:
-    """As ``admit`` on a stream: the state of a key is the times of at most ``most`` admitted events."""
+def admit_stream(events: DataFrame, ts: str, key: str, item: str, most: int, span: float, late: str | None = None) -> DataFrame:
+    """As ``admit`` on a stream: the state of a key is the times of at most ``most`` admitted events.
+
+    With ``late``, how far events may be behind, a key's state goes once no event
+    that could still come falls within ``span`` of its last one.
+    """
     kinds = dict(events.dtypes)
+    events = events.withWatermark(ts, late) if late else events
 
     def run(k, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = deque(state.get[0] if state.exists else [])
         for pdf in batches:
             pdf = pdf.sort_values([ts, item], kind="stable")
             times = [t.timestamp() for t in pdf[ts]]
             yield pd.DataFrame({key: pdf[key], item: pdf[item], "admitted": _admitted(times, recent, most, span)})
         state.update((list(recent),))
+        if late and recent:
+            # never before the watermark, which the state refuses
+            state.setTimeoutTimestamp(max(int((recent[-1] + span) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {item} {kinds[item]}, admitted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {item} {kinds[item]}, admitted boolean", "recent array<double>", "append", timeout)
 
 
-def on_batches(stream: DataFrame, update: Callable[[DataFrame, int], None], checkpoint: str, failures: int = 3):
-    """Start a query that hands every micro-batch to ``update``; after so many failures in a row the query ends with the error."""
-    failed = 0
+def on_batches(stream: DataFrame, update: Callable[[DataFrame, int], None], checkpoint: str, failures: int = 3, rests: int = 0, rest: float = REST):
+    """Start a query that hands every micro-batch to ``update``.
+
+    After so many failures in a row it rests ``rest`` seconds and goes on; after
+    ``rests`` of these the query ends with the error.
+    """
+    failed = rested = 0
 
     def run(df: DataFrame, n: int) -> None:
-        nonlocal failed
+        nonlocal failed, rested
         while True:
             try:
                 update(df, n)
-                failed = 0
+                failed = rested = 0
                 return
             except Exception:
                 failed += 1
                 if failed >= failures:
-                    raise
+                    if rested >= rests:
+                        raise
+                    rested += 1
+                    failed = 0
+                    time.sleep(rest)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
