@@ -6,15 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, release
-from .skew import balanced_join
 
 CYCLE = "(cycle)"
+# pointers at one name from which they are joined in parts, and parts at most
+HOT, MOST_PARTS = 100_000, 256
 
 
 def _real(links: DataFrame) -> DataFrame:
     return links.select("child", "parent").where("child is not null and parent is not null and child <> '' and parent <> ''")
 
 
+def _in_parts(pointers: DataFrame, at: DataFrame, key: str, how: str) -> DataFrame:
+    """Join of ``pointers(name, end)`` with what they point at; names with many pointers are copied to as many parts as these fill."""
+    loads = pointers.groupBy(F.col("end").alias("hot")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT)
+    # at most one row for every HOT pointers
+    hot = F.broadcast(loads.select("hot", F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / HOT)).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    a = pointers.join(hot, F.col("end") == F.col("hot"), "left").withColumn("part", F.pmod(F.xxhash64("name"), parts).cast("int")).drop("hot", "parts")
+    b = at.join(hot, F.col(key) == F.col("hot"), "left").withColumn("to_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot", "parts")
+    return a.join(b, (F.col("end") == F.col(key)) & (F.col("part") == F.col("to_part")), how).drop("part", "to_part")
+
+
 def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     """``name, root, depth`` (and ``path``, an array from the root) for every name in ``links(child, parent)``.
 
@@ -29,9 +41,9 @@ def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     parents of one child the least is its parent, so that each name has one
     path; ``other_parents`` has the rest.  A link of a name to itself is a circle.
 
-    Most pointers soon meet in a few names, so the joins share these out by
-    their load.  Only names that are parents can be pointed at, and they are few
-    beside the others.
+    A few names may have most pointers: those with more than ``HOT`` are joined in
+    parts, in proportion to their load.  Only names that are parents can be
+    pointed at, and they are few beside the others.
     """
     real = _real(links)
     up = real.groupBy("child").agg(F.min("parent").alias("parent"))
@@ -43,13 +55,13 @@ def hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
         state = state.withColumn("tail", F.when(F.col("jump") == 0, F.array().cast("array<string>")).otherwise(F.array("name")))
     state = materialise(state)
     roots = state.where("jump = 0").select(F.col("name").alias("root"))
-    done = balanced_join(state, roots, "end", "root", ["name"], "left").withColumn("open", F.col("root").isNull()).drop("root")
+    done = _in_parts(state, roots, "root", "left").withColumn("open", F.col("root").isNull()).drop("root")
     now = materialise(done)
     release(state)
     left = now.where("open").count()
     while left:
         ahead = now.where("above").select(F.col("name").alias("b"), F.col("end").alias("b_end"), F.col("jump").alias("b_jump"), F.col("open").alias("b_open"), *([F.col("tail").alias("b_tail")] if with_path else []))
-        moved = balanced_join(now.where("open"), ahead, "end", "b", ["name"])
+        moved = _in_parts(now.where("open"), ahead, "b", "inner")
         columns = ["name", "above", F.col("b_end").alias("end"), (F.col("jump") + F.col("b_jump")).alias("jump"), F.col("b_open").alias("open")]
         if with_path:
             columns.append(F.concat("b_tail", "tail").alias("tail"))
