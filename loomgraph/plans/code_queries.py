@@ -148,7 +148,7 @@ def file_imports(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "imports").where(keep).select("id", "file", "source", F.col("confidence.score").alias("score"))
 
 
-@q("""select * from (select id, file, source, case when isnan(confidence.score) or isinf(confidence.score) then 0.0 else least(greatest(confidence.score, 0.0), 100.0) end as score from imports
+@q("""select * from (select id, file, source, case when confidence.score::varchar in ('nan', 'inf', '-inf') then 0.0 else least(greatest(confidence.score, 0.0), 100.0) end as score from imports
       where contains(file, '/src/') and trim(resolved_file) <> '') where score >= 90""")
 def file_imports_normal(spark: SparkSession, d: str) -> DataFrame:
     """As ``file_imports``, with scores brought within 0 to 100; what is no finite number counts as 0 and is not let through."""

@@ -254,7 +254,7 @@ def symbol_context(spark: SparkSession, d: str) -> DataFrame:
     return views.symbol_context(facts["calls"].where("contains(resolved_symbol, '::')").agg(F.max("resolved_symbol")).first()[0], facts)
 
 
-SCORE = "case when isnan(confidence.score) or isinf(confidence.score) then 0.0 else least(greatest(confidence.score, 0.0), 100.0) end"
+SCORE = "case when confidence.score::varchar in ('nan', 'inf', '-inf') then 0.0 else least(greatest(confidence.score, 0.0), 100.0) end"
 
 
 @q(f"""select kind, id, score from (

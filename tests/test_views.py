@@ -45,6 +45,14 @@ def test_other_parents(spark):
     assert hierarchy.other_parents(links.limit(0)).count() == 0
 
 
+def test_hot_pointers_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "HOT", 10)
+    links = [(f"x{i}", "m") for i in range(60)] + [("m", "top")] + [(f"y{i}", "top") for i in range(30)] + [(f"z{i}", "p") for i in range(20)] + [("p", "q"), ("q", "p")]
+    got = {r.name: (r.root, r.depth) for r in hierarchy.hierarchy(spark.createDataFrame(links, "child string, parent string")).collect()}
+    want = {f"x{i}": ("top", 2) for i in range(60)} | {f"y{i}": ("top", 1) for i in range(30)} | {f"z{i}": ("(cycle)", -1) for i in range(20)}
+    assert got == want | {"m": ("top", 1), "top": ("top", 0), "p": ("(cycle)", -1), "q": ("(cycle)", -1)}
+
+
 def test_profile_of_a_hot_key_in_one_file(spark):
     rows = [("hot", f"i{k}", "f", "r", None) for k in range(400)] + [("hot", "j", None, None, "x"), ("cold", "k", "f", "r", "x"), (None, "n", "f", "r", "x")]
     df = spark.createDataFrame(rows * 2, "key string, id string, file string, repo string, target string").withColumn("key_text", F.lit("clash"))
