@@ -79,7 +79,8 @@ def verdict(statement: Column, own: Column | None = None) -> Column:
         theirs = F.array(*[F.lit(w) for w in sorted({w for p in productions for w in p.split()})])
         accepts = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains(words, w) for w in p.split()]) for p in productions])
         if family == "foreign" and own is not None:
-            accepts = accepts & ~F.coalesce(language(F.get(named, F.lit(0))) == own, F.lit(False))
+            # a statement that names none says nothing about the file's own
+            accepts = accepts & ~F.coalesce((F.size(named) > 0) & (language(F.get(named, F.lit(0))) == own), F.lit(False))
         tried.append(F.when(accepts, F.struct(F.size(F.array_intersect(words, theirs)).alias("rank"), F.lit(-order).alias("order"), F.lit(family).alias("family"))))
     known = F.array_max(F.array(*tried))["family"]
     unknown = F.when(code.rlike(ERROR_CODE) | text.rlike(REJECTION), "corrupt")
