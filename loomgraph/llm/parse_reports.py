@@ -69,18 +69,23 @@ def statements(reason: Column, diagnostics: Column) -> Column:
     return F.concat(first, F.transform(texts, pair), plain)
 
 
+def worded(statement: Column) -> Column:
+    """A statement with its words and the language it names, if any, so that these are taken out of the text but once."""
+    text = statement["text"]
+    named = F.coalesce(*[F.nullif(F.regexp_extract(text, NAMED, k), F.lit("")) for k in (1, 2)])
+    return F.struct(statement["code"].alias("code"), text.alias("text"), F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("words"), F.when(named.isNotNull(), language(named)).alias("named"))
+
+
 def verdict(statement: Column, own: Column | None = None) -> Column:
-    """``conflict``, ``foreign``, ``truncated``, ``corrupt`` or null for a harmless statement on a file in language ``own``."""
-    text, code = statement["text"], statement["code"]
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    named = F.filter(F.array(*[F.nullif(F.regexp_extract(text, NAMED, k), F.lit("")) for k in (1, 2)]), lambda x: x.isNotNull())
+    """``conflict``, ``foreign``, ``truncated``, ``corrupt`` or null for a harmless one, of a ``worded`` statement on a file in language ``own``."""
+    text, code, words = statement["text"], statement["code"], statement["words"]
     tried = []
     for order, (family, productions) in enumerate(GRAMMARS.items()):
         theirs = F.array(*[F.lit(w) for w in sorted({w for p in productions for w in p.split()})])
         accepts = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains(words, w) for w in p.split()]) for p in productions])
         if family == "foreign" and own is not None:
             # a statement that names none says nothing about the file's own
-            accepts = accepts & ~F.coalesce((F.size(named) > 0) & (language(F.get(named, F.lit(0))) == own), F.lit(False))
+            accepts = accepts & ~F.coalesce(statement["named"] == own, F.lit(False))
         tried.append(F.when(accepts, F.struct(F.size(F.array_intersect(words, theirs)).alias("rank"), F.lit(-order).alias("order"), F.lit(family).alias("family"))))
     known = F.array_max(F.array(*tried))["family"]
     unknown = F.when(code.rlike(ERROR_CODE) | text.rlike(REJECTION), "corrupt")
@@ -119,7 +124,8 @@ def judge(results: DataFrame, files: DataFrame | None = None) -> DataFrame:
     latest = latest_runs(results)
     known = latest.join(languages(files), "file", "left") if files is not None else latest.withColumn("language", F.lit(None).cast("string"))
     known = known.withColumn("language", F.coalesce("language", F.lit("unknown")))
-    found = F.filter(F.transform(statements(F.col("reason"), F.col("diagnostics")), lambda x: verdict(x, F.col("language"))), lambda v: v.isNotNull())
+    said = F.transform(statements(F.col("reason"), F.col("diagnostics")), worded)
+    found = F.filter(F.transform(said, lambda x: verdict(x, F.col("language"))), lambda v: v.isNotNull())
     order = ("foreign", "conflict", "truncated", "corrupt")
     damage = reduce(lambda acc, k: acc.when(F.array_contains("found", k), k), order[1:], F.when(F.array_contains("found", order[0]), order[0]))
     return known.select("file", "language", "used_backend", found.alias("found")).select("file", "language", "used_backend", damage.alias("damage"))
