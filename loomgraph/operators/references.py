@@ -3,10 +3,11 @@
 A Bloom filter over the parents' keys proves most orphans without a join; only
 references it lets through are joined exactly.  The filter is made by one
 aggregation inside the query and handed to the tasks as a scalar.  Its size
-follows the number of different parent keys.  A filter of more than
-``MAX_FILTER_BITS`` is made in parts by the hash of the key: both sides are
-written out by part, and each part's references meet only their part's filter,
-so that no broadcast is larger than that bound.
+follows the number of different parent keys.  The driver holds a scalar several
+times over for each scan that tests it: in the plan, in the generated code and
+in the serialised tasks.  So parents and references are written out first, which
+leaves one scan, and a filter of more than ``filter_bits`` is made in parts by the
+hash of the key, where each part's references meet only their part's filter.
 """
 
 from __future__ import annotations
@@ -16,10 +17,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 from pyspark.sql.internal import InternalFunction
 
-from ..session import materialise_all, release
+from ..session import materialise, materialise_all, release
 
 MAX_FILTER_BITS = 256 * 1024 * 1024
 BITS_PER_KEY = 10
+#: The share of the driver's heap that one filter may take; one scan needs it about ten times over.
+HEAP_SHARE = 64
+
+
+def driver_heap(spark) -> int:
+    """Bytes that the driver's heap may grow to."""
+    return spark._jvm.java.lang.Runtime.getRuntime().maxMemory()
+
+
+def filter_bits(spark) -> int:
+    """The most bits of one filter: ``MAX_FILTER_BITS``, less where the driver's heap is small."""
+    return max(1, min(MAX_FILTER_BITS, driver_heap(spark) * 8 // HEAP_SHARE))
 
 
 def bloom_filter(hashes: DataFrame, n_keys: int) -> Column:
@@ -62,16 +75,12 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
         lives = (F.col("p.first_run") <= F.col("r.run")) & (F.col("p.end_run").isNull() | (F.col("r.run") < F.col("p.end_run")))
         return r.join(p, same & lives, "left_anti")
 
-    hashes = there.select(hashed.alias("h"))
+    there = materialise(there.withColumn("h", hashed))
     # different keys, not deliveries; the count only sizes the filter
-    n_keys = hashes.agg(F.approx_count_distinct("h", 0.02)).first()[0]
-    parts = min(max(1, n_keys), -(-max(1, n_keys) * BITS_PER_KEY // MAX_FILTER_BITS))
-    if parts == 1:
-        maybe = might_contain(spark, bloom_filter(hashes, n_keys), hashed)
-        return real.where(~maybe).unionByName(exact(real.where(maybe)))
-
+    n_keys = there.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    parts = min(max(1, n_keys), -(-max(1, n_keys) * BITS_PER_KEY // filter_bits(spark)))
     part = F.pmod(F.xxhash64("kind", "key", F.lit(5)), F.lit(parts)).cast("int").alias("__part")
-    keys = materialise_all([there.select(hashed.alias("h"), part)], "__part")
+    keys = materialise_all([there.select("h", part)], "__part") if parts > 1 else there.withColumn("__part", F.lit(0))
     asked = materialise_all([real.select("*", part)], "__part")
 
     def tested():
@@ -80,6 +89,7 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
             yield asked.where(F.col("__part") == k).drop("__part").withColumn("__maybe", might_contain(spark, made, hashed))
 
     known = materialise_all(tested(), "__maybe")
-    release(keys)
+    if parts > 1:
+        release(keys)
     release(asked)
     return known.where("not __maybe").drop("__maybe").unionByName(exact(known.where("__maybe").drop("__maybe")))

@@ -102,6 +102,19 @@ def test_orphans(spark, monkeypatch, limit):
     assert sorted(r.name for r in got.collect()) == ["early", "gone", "kind", "never", "norun"]
 
 
+def test_orphans_filter_fits_the_driver(spark, monkeypatch):
+    """A filter is no larger than the driver's heap allows, and the result, a union of scans, carries none."""
+    made, plain = [], references.bloom_filter
+    monkeypatch.setattr(references, "bloom_filter", lambda hashes, n_keys: made.append(n_keys) or plain(hashes, n_keys))
+    monkeypatch.setattr(references, "driver_heap", lambda _: 80_000, raising=False)
+    parents = spark.range(5000).selectExpr("'f' as kind", "'k' || id as key", "1 as first_run", "cast(null as int) as end_run")
+    refs = [spark.range(2000).selectExpr("'f' as kind", f"if(id % 100 = 0, 'gone', 'k') || (id + {1000 * k}) as key", "1 as run", f"'{k}-' || id as name") for k in range(4)]
+    got = references.orphans(refs[0].union(refs[1]).union(refs[2]).union(refs[3]), parents)
+    assert "might_contain" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert max(made) * references.BITS_PER_KEY <= 80_000 * 8 // 64
+    assert sorted(r.name for r in got.collect()) == sorted(f"{k}-{i}" for k in range(4) for i in range(0, 2000, 100))
+
+
 def test_orphans_of_empty_tables(spark):
     none = spark.createDataFrame([], PARENTS)
     refs = spark.createDataFrame([("f", "a", 1, "x")], REFS)
