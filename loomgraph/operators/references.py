@@ -21,7 +21,7 @@ from ..session import materialise, materialise_all, release
 
 MAX_FILTER_BITS = 256 * 1024 * 1024
 BITS_PER_KEY = 10
-#: The share of the driver's heap that one filter may take; one scan needs it about ten times over.
+#: One filter may take this fraction of the driver's heap, as the scan that tests it holds it several times over; set by hand.
 HEAP_SHARE = 64
 
 
